@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, quality, secrets
-from .common import table
+from . import impact, lmscore, minhash, mixing, quality, secrets, tokencounts
+from .common import scratch, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.top_k(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.lm_scores(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.document_rates(table(spark, sf_dir, "documents"))
 
@@ -26,11 +34,21 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_findings(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A new cache for each call, so that every distinct text is encoded; a service would name a lasting folder.
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), scratch(spark, "token-cache"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_topk_search": op2_topk_search,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_source_mixing": op4_source_mixing,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_token_counts": op8_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_topk_search": impact.ORACLE,
+}
