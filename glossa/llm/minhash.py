@@ -23,8 +23,8 @@ from .graph import components, without
 class MinHashParams:
     shingle: int = 3
     permutations: int = 64
-    #: Signature values in a band; permutations * 2 / rows_per_band bands.
-    rows_per_band: int = 4
+    #: Signature values in a band; bands as many as whole ones fit (25).
+    rows_per_band: int = 5
     #: Least share of equal signature values.
     threshold: float = 0.6
     seed: int = 7
@@ -76,7 +76,8 @@ def signatures(column: pa.Array, p: MinHashParams) -> tuple[np.ndarray, np.ndarr
 
 def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     """(texts x bands) int64 keys; a key names its band."""
-    n, m = sig.shape
+    n, m = sig.shape[0], sig.shape[1] // rows * rows
+    sig = sig[:, :m]
     parts = sig.reshape(n, m // rows, rows).astype(np.uint64)
     key = np.zeros(parts.shape[:2], np.uint64) + np.arange(m // rows, dtype=np.uint64)
     for k in range(rows):
@@ -114,9 +115,8 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams()) -> Data
     """(doc_id, group_id) of every document that has near copies; group_id is the smallest doc_id of its group.
 
     Documents with equal signatures are collapsed first. In each bucket of a band every document is compared with the bucket's
-    smallest id; those unlike it form a bucket of their own and the comparison is repeated until every document of every bucket has
-    been compared with one like it or has led a bucket itself, so neither a bucket's size nor its number of candidates is capped.
-    Groups are the connected components.
+    smallest id; those unlike it are compared among themselves in the same way, each with all that were unlike all before them, so
+    neither a bucket's size nor its number of candidates is capped. Groups are the connected components.
 
     Rows with a null doc_id or without words (null, empty, signs only) are in no group; rows that repeat a doc_id are one document,
     of which the row with the smallest signature hash counts; an empty table gives an empty result; other columns are not read.
@@ -139,25 +139,35 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams()) -> Data
         """Each bucket's documents with its first, which a running window finds without holding the bucket."""
         return rows.withColumn("rep", F.first("doc").over(Window.partitionBy("key").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("doc != rep")
 
-    alike: DataFrame | None = None
     bucket, bucket_path = written(led(sigs.mapInArrow(keys, "key long, doc long")), "bucket")
-    paths = [bucket_path]
-    while not bucket.isEmpty():
-        checked, checked_path = written(_verified(bucket.select("doc", "rep").distinct(), sigs), "checked")
-        paths.append(checked_path)
-        good = checked.where(F.col("share") >= p.threshold).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-        alike = good if alike is None else alike.union(good)
-        unlike = checked.where(F.col("share") < p.threshold).select("doc", "rep")
-        if unlike.isEmpty():
-            break
-        bucket, bucket_path = written(led(bucket.join(unlike, ["doc", "rep"], "left_semi").select("key", "doc")), "bucket")
-        paths.append(bucket_path)
-    if alike is None:
-        groups = exact.select("doc_id", F.col("rep").alias("group_id"))
-    else:
-        roots, roots_path = written(components(alike), "roots")
-        groups = exact.join(roots, exact.rep == roots.id, "left").select("doc_id", F.coalesce("root", "rep").alias("group_id"))
-    dropped(spark, signed_path, sigs_path, *paths)
+    checked, checked_path = written(_verified(bucket.select("doc", "rep").distinct(), sigs), "checked")
+    near = F.col("share") >= p.threshold
+    rest = bucket.join(checked.where(~near).select("doc", "rep"), ["doc", "rep"], "left_semi").select("key", "doc")
+    crowded = rest.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    rest = rest.join(crowded, "key", "left_semi").join(sigs.withColumnRenamed("doc_id", "doc"), "doc")
+
+    def lead(group: pa.Table) -> pa.Table:
+        """Each document with the first leader that it is like; those like none lead."""
+        docs = group.column("doc").to_numpy()
+        order = np.argsort(docs, kind="stable")
+        rows = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(docs), -1)[order]
+        docs = docs[order]
+        leaders = np.empty_like(rows)
+        who, a, b = [], [], []
+        for i in range(len(docs)):
+            like = np.flatnonzero((leaders[: len(who)] == rows[i]).mean(axis=1) >= p.threshold) if who else ()
+            if len(like):
+                a.append(docs[i])
+                b.append(who[like[0]])
+            else:
+                leaders[len(who)] = rows[i]
+                who.append(docs[i])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    alike = checked.where(near).select(F.col("doc").alias("a"), F.col("rep").alias("b")).union(rest.groupBy("key").applyInArrow(lead, "a long, b long").distinct())
+    roots, roots_path = written(components(alike), "roots")
+    groups = exact.join(roots, exact.rep == roots.id, "left").select("doc_id", F.coalesce("root", "rep").alias("group_id"))
+    dropped(spark, signed_path, sigs_path, bucket_path, checked_path)
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
     return groups.join(sizes, "group_id", "left_semi").select("doc_id", "group_id")
 
