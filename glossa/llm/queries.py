@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import impact, lmscore, minhash, mixing, quality, secrets, tokencounts
+from . import decontaminate, impact, lmscore, minhash, mixing, quality, secrets, tokencounts
 from .common import scratch, table
 
 
@@ -39,6 +39,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(table(spark, sf_dir, "documents"), scratch(spark, "token-cache"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_topk_search": op2_topk_search,
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_dedup": op5_minhash_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_token_counts": op8_token_counts,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
