@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, impact, lmscore, minhash, mixing, quality, secrets, tokencounts
+from . import decontaminate, htmltree, impact, licenses, lmscore, minhash, mixing, quality, secrets, tokencounts
 from .common import scratch, table
 
 
@@ -30,6 +31,10 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_findings(table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(table(spark, sf_dir, "documents"), scratch(spark, "token-cache"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled pages are those whose URL ends in the number of the document that they show."""
+    pages = table(spark, sf_dir, "pages")
+    shown = pages.select("page_id", F.regexp_extract("url", r"/(\d+)(?:\.html)?/?(?:[?#].*)?$", 1).alias("n")).where("n != ''")
+    # Bounded before documents are read: the labelled sample is a parameter of the operator.
+    shown = shown.orderBy(F.xxhash64("page_id"), "page_id").limit(htmltree.HtmlParams().max_train_pages)
+    labelled = table(spark, sf_dir, "documents").join(F.broadcast(shown), F.col("doc_id") == F.col("n").cast("long")).select("page_id", F.col("text").alias("content"))
+    return htmltree.extracted(pages, labelled)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,8 +64,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_scoring": op3_lm_scoring,
     "op4_source_mixing": op4_source_mixing,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_secret_scan": op7_secret_scan,
     "op8_token_counts": op8_token_counts,
+    "op9_html_extraction": op9_html_extraction,
     "op10_decontamination": op10_decontamination,
 }
 
