@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()
     return QualityModel(np.frombuffer(r["weights"], np.float32).reshape(2, -1).copy(), np.array(r["bias"]), np.array(r["thresholds"]), r["n"])
 
 
-def score(docs: DataFrame, model: QualityModel, p: QualityParams = QualityParams(), carry: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: QualityModel, p: QualityParams = QualityParams(), carry: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """Every row's (carried columns,) quality, toxicity and keep; one narrow pass, no shuffle.
 
     A null, empty or blank text has quality 0, toxicity 0 and isn't kept. Rows repeat as they do in docs; only doc_id and text
@@ -168,13 +168,13 @@ def score(docs: DataFrame, model: QualityModel, p: QualityParams = QualityParams
     carry = ["doc_id"] if carry is None else carry
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.thresholds))
     untrained = model.rows == 0
-    out = docs.select(*carry, *([] if "text" in carry else ["text"]))
+    out = docs.select(*carry, *([] if text_col in carry else [text_col]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) + ", quality double, toxicity double, keep boolean"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, thresholds = shared.value
         for b in batches:
-            logits, sizes = margins(tv.strings(b.column("text")), weights, bias, p.bits)
+            logits, sizes = margins(tv.strings(b.column(text_col)), weights, bias, p.bits)
             s = sigmoid(logits)
             s[sizes == 0] = 0
             keep = (sizes > 0) & (untrained | ((s[:, 0] >= thresholds[0]) & (s[:, 1] < thresholds[1])))
@@ -192,8 +192,8 @@ def quality_filter(docs: DataFrame, labels: DataFrame, p: QualityParams = Qualit
     """The rows of docs, all columns, that the classifier keeps."""
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at = {n.lower(): i for i, n in reversed(list(enumerate(names)))}
-    model = train(docs, labels, p)
-    named = plain.withColumn("text", F.col(f"c{at['text']}").cast("string"))
-    kept = score(named, model, p, carry=plain.columns).where("keep") if "text" in at else plain
+    at = {n.lower(): i for i, n in enumerate(names)}
+    if "text" not in at:
+        return docs
+    kept = score(plain, train(docs, labels, p), p, carry=plain.columns, text_col=f"c{at['text']}").where("keep")
     return kept.select(*plain.columns).toDF(*names)
