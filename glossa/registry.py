@@ -1,10 +1,8 @@
-"""All queries of the engine's own operators."""
+"""All queries of the engine's own operators, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from glossa.plans import vector_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**vector_queries.QUERIES}
+ORACLES = {**vector_queries.ORACLES}
