@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.plans import vector_queries
+from glossa.plans import text_queries, vector_queries
 
-QUERIES = {**vector_queries.QUERIES}
-ORACLES = {**vector_queries.ORACLES}
+QUERIES = {**vector_queries.QUERIES, **text_queries.QUERIES}
+ORACLES = {**vector_queries.ORACLES, **text_queries.ORACLES}
