@@ -39,7 +39,8 @@ BROADCAST_IDS = 2_000_000
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id isn't in ids (one column, distinct); rows with a null doc_id stay."""
     name = next(c for c in docs.columns if c.lower() == "doc_id")
-    right = ids.select(F.col(ids.columns[0]).alias("_gone"))
+    other = next(c for c in ("gone", *(f"gone{i}" for i in range(len(docs.columns)))) if c not in [x.lower() for x in docs.columns])
+    right = ids.select(F.col(ids.columns[0]).alias(other))
     if right.count() <= BROADCAST_IDS:
         right = F.broadcast(right)
-    return docs.join(right, docs[name] == F.col("_gone"), "left_anti")
+    return docs.join(right, F.col(f"`{name}`") == F.col(other), "left_anti")

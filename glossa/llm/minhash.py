@@ -39,10 +39,10 @@ def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         whole = []
         for i in short:
-            x = np.uint64(0)
-            for w in t.hashes[t.offsets[i] : t.offsets[i + 1]]:
-                x = tv.mix(np.array([x * np.uint64(0x2545F4914F6CDD1D) + w]))[0]
-            whole.append(x)
+            x = np.zeros(1, np.uint64)
+            for k in range(t.offsets[i], t.offsets[i + 1]):
+                x = tv.mix(x * np.uint64(0x2545F4914F6CDD1D) + t.hashes[k : k + 1])
+            whole.append(x[0])
         offsets = np.concatenate(([0], np.cumsum(counts)))
         h = np.insert(h, offsets[short], np.array(whole, np.uint64))
         counts[short] = 1
