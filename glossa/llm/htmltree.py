@@ -256,7 +256,7 @@ def content_of(trees: list[Tree], model: HtmlModel, p: HtmlParams) -> tuple[list
         q = prob[a : a + len(t.tag)]
         a += len(t.tag)
         have = [i for i, x in enumerate(t.text) if x]
-        take = [i for i in have if q[i] >= p.threshold]
+        take = [i for i in have if q[i] >= p.threshold - 1e-9]
         out.append("\n".join(t.text[i] for i in take))
         texts.append(len(have))
         chosen.append(len(take))
