@@ -496,7 +496,11 @@ def locale_lookup(t: Tables) -> DataFrame:
 @_add("byte_units", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.2f B', n_chars::DOUBLE) WHEN n_chars < 1048576 THEN printf('%.2f KB', n_chars / 1024.0::DOUBLE) ELSE printf('%.2f MB', n_chars / 1048576.0::DOUBLE) END AS size FROM documents")
 def byte_units(t: Tables) -> DataFrame:
     n = F.col("n_chars").cast("double")
-    return t.documents.select("doc_id", F.when(n < 1024, F.format_string("%.2f B", n)).when(n < 1048576, F.format_string("%.2f KB", n / 1024)).otherwise(F.format_string("%.2f MB", n / 1048576)).alias("size"))
+
+    def shown(unit: str, x: F.Column) -> F.Column:
+        return F.format_string(f"%.2f {unit}", F.bround(x, 2))
+
+    return t.documents.select("doc_id", F.when(n < 1024, shown("B", n)).when(n < 1048576, shown("KB", n / 1024)).otherwise(shown("MB", n / 1048576)).alias("size"))
 
 
 @_add("upload_dedupe", "SELECT md5(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
