@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ALARM = ("initialized", "postfix", "prefix", "warning:", "error:", "exception", "debug", "patcher", "log.", "steamworks", "failed", "error unknown")
-KEYBOARD = ("left alt", "right alt", "left ctrl", "right ctrl", "left shift", "right shift", "mouse")
-SHOUTED = ("ERROR", "UNKNOWN", "FAILED", "EXCEPTION", "WARNING")
-NAMESPACES = ("org.", "com.", "unityengine.", "system.")
+ALARM = tuple(sorted("debug exception failed initialized log. patcher postfix prefix steamworks error: warning:".split())) + ("error unknown",)
+KEYBOARD = ("mouse", *(f"{side} {name}" for name in ("shift", "ctrl", "alt") for side in ("left", "right")))
+SHOUTED = ("EXCEPTION", "WARNING", "FAILED", "UNKNOWN", "ERROR")
+NAMESPACES = ("com.", "org.", "system.", "unityengine.")
 #: White space as both Java and RE2 read it.
 BLANK = r"^[ \t\n\r\f]*$"
 
@@ -39,8 +39,8 @@ def assembly_text(c: Column) -> Column:
     rejected = [
         c.rlike(BLANK),
         c.contains("_"),
-        c.rlike(r"^[A-Z][a-zA-Z0-9]+$"),
-        c.rlike(r"^[a-z]+[A-Z][a-zA-Z0-9]*$"),
+        c.rlike(r"^[A-Z]\p{Alnum}+$"),
+        c.rlike(r"^[a-z]+[A-Z]\p{Alnum}*$"),
         (c == low) & (c != F.upper(c)) & ~c.contains(" ") & (F.char_length(c) < 15),
         c.contains(".") & c.rlike(r"^[a-z0-9.\-]+$"),
         c.contains("http://") | c.contains("https://"),
@@ -56,7 +56,7 @@ def assembly_text(c: Column) -> Column:
         c.contains(".") & c.rlike(r":[ \t\n\r\f]*$"),
         c.contains("::"),
         c.rlike(r"^\[[0-9]{4}-[0-9]{2}-[0-9]{2}") | c.contains("-->"),
-        c.rlike(r"^[A-Za-z0-9]+(\.[A-Za-z0-9]+)+$"),
+        c.rlike(r"^\p{Alnum}+(?:\.\p{Alnum}+)+$"),
         _upper(c) & c.contains(" ") & _any([c.contains(x) for x in SHOUTED]),
     ]
     return F.coalesce(~_any(rejected), F.lit(False))

@@ -24,14 +24,22 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def _add(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
-    def register(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
-        if sql:
-            ORACLES[name] = sql
-        return fn
+def registrar(queries: dict[str, Query], oracles: dict[str, str]) -> Callable[..., Callable]:
+    """A decorator that registers a function of Tables under a name, with its SQL if there is any."""
 
-    return register
+    def add(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+        def register(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+            queries[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+            if sql:
+                oracles[name] = sql
+            return fn
+
+        return register
+
+    return add
+
+
+_add = registrar(QUERIES, ORACLES)
 
 
 WS = "[ \\t\\n\\r\\f]+"
@@ -72,11 +80,11 @@ def _asm_sql(c: str) -> str:
     shout = " OR ".join(f"contains({c}, '{x}')" for x in filters.SHOUTED)
     names = " OR ".join(f"starts_with({c}, '{x}')" for x in filters.NAMESPACES)
     board = ", ".join(f"'{x}'" for x in filters.KEYBOARD)
-    return rf"""NOT (regexp_full_match({c}, '[ \t\n\r\f]*') OR contains({c}, '_') OR regexp_full_match({c}, '[A-Z][a-zA-Z0-9]+') OR regexp_full_match({c}, '[a-z]+[A-Z][a-zA-Z0-9]*')
+    return rf"""NOT (regexp_full_match({c}, '[ \t\n\r\f]*') OR contains({c}, '_') OR regexp_full_match({c}, '[A-Z][[:alnum:]]+') OR regexp_full_match({c}, '[a-z]+[A-Z][[:alnum:]]*')
 OR ({c} = lower({c}) AND {c} != upper({c}) AND NOT contains({c}, ' ') AND length({c}) < 15) OR (contains({c}, '.') AND regexp_full_match({c}, '[a-z0-9.\-]+')) OR contains({c}, 'http://') OR contains({c}, 'https://')
 OR (contains({c}, '/') AND NOT starts_with({c}, 'http')) OR {names} OR regexp_matches({c}, '\{{[0-9]+\}}') OR contains({c}, '("') OR contains({c}, '")') OR contains({c}, '!!!') OR regexp_matches({c}, '\.[A-Z]')
 OR {alarm} OR lower({c}) IN ({board}) OR ends_with(lower({c}), '.dll') OR (contains({c}, '.') AND regexp_matches({c}, ':[ \t\n\r\f]*$')) OR contains({c}, '::') OR regexp_matches({c}, '^\[[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR contains({c}, '-->')
-OR regexp_full_match({c}, '[A-Za-z0-9]+(\.[A-Za-z0-9]+)+') OR ({c} = upper({c}) AND {c} != lower({c}) AND contains({c}, ' ') AND ({shout})))"""
+OR regexp_full_match({c}, '[[:alnum:]]+(\.[[:alnum:]]+)+') OR ({c} = upper({c}) AND {c} != lower({c}) AND contains({c}, ' ') AND ({shout})))"""
 
 
 @_add("asm_text_filter", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents UNION ALL SELECT p_partkey, p_name FROM part) SELECT doc_id, count(*) AS kept FROM l WHERE {_asm_sql('line')} GROUP BY doc_id""")

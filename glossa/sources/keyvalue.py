@@ -103,7 +103,7 @@ def review(files: DataFrame) -> DataFrame:
 
 def lang_line(key: Column, value: Column) -> Column:
     """key=value on one line: line breaks inside become \\n and \\r, other runs of white space one blank."""
-    safe = F.regexp_replace(F.regexp_replace(value, "\r", r"\\\\r"), "\n", r"\\\\n")
+    safe = F.replace(F.replace(value, F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
     return F.concat(key, F.lit("="), F.regexp_replace(safe, r"\s+", " "))
 
 
