@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +43,13 @@ class LsiParams:
     seed: int = 5
 
 
-def lcs(masks: dict[int, int], n: int, words: list[int]) -> int:
-    """Length of the longest common subsequence of a pattern of n words, given as bit masks by word, and words (bit-parallel)."""
+def lcs(marks: list[int], n: int) -> int:
+    """Length of the longest common subsequence of a pattern of n words and a text given by each word's bit mask of places in the pattern (bit-parallel)."""
     full = (1 << n) - 1
     v = full
-    for w in words:
-        m = masks.get(w, 0)
-        if m:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
+    for m in marks:
+        u = v & m
+        v = ((v + u) | (v - u)) & full
     return n - v.bit_count()
 
 
@@ -61,17 +60,34 @@ def bit_masks(words: list[int]) -> dict[int, int]:
     return out
 
 
-def best_overlap(pattern: list[int], masks: dict[int, int], words: list[int]) -> float:
-    """The largest share of the pattern in a common subsequence with a stretch of words hardly longer than it."""
-    n = len(pattern)
-    span = n + -(-n // 4)
-    stride = max(1, n // 4)
+def window(n: int) -> tuple[int, int]:
+    """Words in a stretch that a pattern of n words is compared with, and the step from one to the next."""
+    return n + -(-n // 4), max(1, n // 4)
+
+
+def best_overlap(n: int, masks: dict[int, int], words: list[int], least: float = 0.0) -> float:
+    """The largest share of a pattern of n words in a common subsequence with a stretch of words hardly longer than it; 0 if that is less than ``least``.
+
+    A stretch with no more of the pattern's words than the best so far, or than ``least`` asks for, can't do better and is passed over.
+    """
+    span, stride = window(n)
+    marks = [masks.get(w, 0) for w in words]
+    have = [0, *accumulate(1 if m else 0 for m in marks)]
+    floor = needed(n, least)
     best = 0
     for a in range(0, max(1, len(words) - span + stride), stride):
-        best = max(best, lcs(masks, n, words[a : a + span]))
-        if best == n:
-            break
-    return best / n
+        b = min(a + span, len(words))
+        most = have[b] - have[a]
+        if most > best and most >= floor:
+            best = max(best, lcs([m for m in marks[a:b] if m], n))
+            if best == n:
+                break
+    return best / n if best >= floor else 0.0
+
+
+def needed(n: int, share: float) -> int:
+    """Least whole number of n words that is at least the share."""
+    return int(np.ceil(share * n - 1e-9))
 
 
 @dataclass(frozen=True)
@@ -121,10 +137,46 @@ class Vocabulary:
         return at[hit], slot[hit]
 
 
-def _sum_rows(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of rows by ascending group, and the groups."""
+def sum_rows(table: np.ndarray, index: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows table[index] by ascending group, and the groups; the k-th rows of all groups are added at once."""
     first = tv.starts_of(group)
-    return np.add.reduceat(rows, first, axis=0), group[first]
+    sizes = np.diff(np.append(first, len(group)))
+    order = np.argsort(-sizes, kind="stable")
+    at, sizes = first[order], sizes[order]
+    total = table[index[at]]
+    steps = min(64, int(sizes[0]) if len(sizes) else 0)
+    for k in range(1, steps):
+        m = int(np.searchsorted(-sizes, -k, side="left"))
+        total[:m] += table[index[at[:m] + k]]
+    for j in range(int(np.searchsorted(-sizes, -64, side="left"))):  # the few long ones
+        total[j] += table[index[at[j] + 64 : at[j] + sizes[j]]].sum(axis=0)
+    out = np.empty_like(total)
+    out[order] = total
+    return out, group[first]
+
+
+def possible(slots: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, member: np.ndarray, sizes: np.ndarray, share: float) -> np.ndarray:
+    """Which of the hits (words lo to hi, item) have a stretch with enough of the item's words for the share of it; an upper bound of the overlap.
+
+    slots: the vocabulary's number of each word, or the number of its last column, which belongs to no item.
+    """
+    keep = np.zeros(len(item), bool)
+    floor = np.array([needed(int(n), share) for n in sizes])
+    span = np.array([window(int(n))[0] for n in sizes])
+    for a in range(0, len(item), 4096):
+        k, low, high = item[a : a + 4096], lo[a : a + 4096], hi[a : a + 4096]
+        width = int((high - low).max())
+        at = low[:, None] + np.arange(width)
+        hits = member[k[:, None], slots[np.minimum(at, len(slots) - 1)]] & (at < high[:, None])
+        some = np.flatnonzero(hits.sum(axis=1) >= floor[k])
+        if not len(some):
+            continue
+        sums = np.zeros((len(some), width + 1), np.int32)
+        np.cumsum(hits[some], axis=1, out=sums[:, 1:])
+        ends = np.minimum(np.arange(width) + span[k[some], None], width)
+        most = (np.take_along_axis(sums, ends, axis=1) - sums[:, :-1]).max(axis=1)
+        keep[a + some] = most >= floor[k[some]]
+    return keep
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, p: LsiParams = LsiParams(), id_col: str = "item_id", answer_col: str | None = None) -> DataFrame:
@@ -179,7 +231,7 @@ def _search(d: DataFrame, items: list[Item], words: np.ndarray, df: np.ndarray,
     use = np.zeros(len(words), bool)
     for x in index:
         x = np.unique(x)
-        use[x[np.lexsort((x, df[x]))[: p.always]]] = True
+        use[x[np.lexsort((x, df[x], df[x] == 0))[: p.always]]] = True  # words that the corpus lacks come last
         use[x[df[x] <= p.max_df * total]] = True
     features = np.flatnonzero(use)
     idf = np.log(1 + total / np.maximum(df[features], 0.5)).astype(np.float32)
@@ -210,11 +262,11 @@ def _search(d: DataFrame, items: list[Item], words: np.ndarray, df: np.ndarray,
                 at, f = v.find(t.hashes)
                 if not len(at):
                     continue
-                y, group = _sum_rows(weighted[f], of[at])
+                y, group = sum_rows(weighted, f, of[at])
                 energy += float((scale[f] ** 2).sum())
                 row = np.searchsorted(group, of[at])
                 order = np.argsort(f, kind="stable")
-                part, which = _sum_rows(y[row[order]], f[order])
+                part, which = sum_rows(y, row[order], f[order])
                 z[which] += part * scale[which][:, None]
         n = -(-len(scale) // slab)
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, n), pa.int32()), pa.array([np.float32([energy]).tobytes(), *(z[k * slab : (k + 1) * slab].tobytes() for k in range(n))], pa.binary())], ["slab", "z"])
@@ -232,11 +284,18 @@ def _search(d: DataFrame, items: list[Item], words: np.ndarray, df: np.ndarray,
     basis = left * idf[:, None]
     latent = (bench / idf) @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    shared = spark.sparkContext.broadcast((basis, np.ascontiguousarray(latent.T), items))
+    # Which words each item has; the last column stands for all other words.
+    member = np.zeros((len(items), len(words) + 1), bool)
+    for k, x in enumerate(index):
+        member[k, x] = True
+    shared = spark.sparkContext.broadcast((basis, np.ascontiguousarray(latent.T), items, member))
+    everything = spark.sparkContext.broadcast(Vocabulary(words))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
-        basis, target, items = shared.value
+        basis, target, items, member = shared.value
+        sizes = np.array([len(x.words) for x in items])
+        least = min(p.lcs, p.lcs_with_answer)
         for b in batches:
             column = tv.strings(b.column("text"))
             rows, keys, cosines, overlaps, answers = [], [], [], [], []
@@ -246,7 +305,7 @@ def _search(d: DataFrame, items: list[Item], words: np.ndarray, df: np.ndarray,
                 at, f = v.find(t.hashes)
                 if not len(at):
                     continue
-                y, group = _sum_rows(basis[f], of[at])
+                y, group = sum_rows(basis, f, of[at])
                 text = np.searchsorted(first, group, side="right") - 1
                 # A passage is a block and the next one of the same text; a block whose successor has no weight stands alone.
                 follows = np.flatnonzero((group[1:] == group[:-1] + 1) & (text[1:] == text[:-1]))
@@ -256,31 +315,35 @@ def _search(d: DataFrame, items: list[Item], words: np.ndarray, df: np.ndarray,
                 vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-12)
                 sims = vec @ target
                 hit, item = np.nonzero(sims >= p.cosine)
-                found: dict[tuple[int, int], list] = {}
-                for h, k in zip(hit.tolist(), item.tolist(), strict=True):
-                    tx = int(np.searchsorted(first, start[h], side="right") - 1)
-                    found.setdefault((tx, k), []).append((int(start[h] - first[tx]), float(sims[h, k])))
+                if not len(hit):
+                    continue
+                of_text = np.searchsorted(first, start[hit], side="right") - 1
+                place = start[hit] - first[of_text]
+                low, high = t.offsets[:-1][of_text], t.offsets[1:][of_text]
+                lo, hi = np.maximum(low, low + place * p.block - sizes[item]), np.minimum(high, low + (place + 2) * p.block + sizes[item])
+                slots = np.full(len(t.hashes), len(words), np.int64)
+                known, slot = everything.value.find(t.hashes)
+                slots[known] = slot
+                maybe = np.flatnonzero(possible(slots, lo, hi, item, member, sizes, least))
+                found: dict[tuple[int, int], set[int]] = {}
+                for tx, k, at_ in zip(of_text[maybe].tolist(), item[maybe].tolist(), place[maybe].tolist(), strict=True):
+                    found.setdefault((tx, k), set()).add(at_)
                 for (tx, k), places in sorted(found.items()):
                     it = items[k]
                     reach = len(it.words)
                     a, z_ = int(t.offsets[tx]), int(t.offsets[tx + 1])
-                    best, said, cos = 0.0, False, 0.0
-                    last = None
-                    for place_, c in sorted(places):
-                        cos = max(cos, c)
-                        if place_ == last:
-                            continue
-                        last = place_
+                    best, said = 0.0, False
+                    for place_ in sorted(places):
                         lo = max(a, a + place_ * p.block - reach)
                         hi = min(z_, a + (place_ + 2) * p.block + reach)
                         near = t.hashes[lo:hi].tolist()
-                        share = best_overlap(it.words, it.masks, near)
+                        share = best_overlap(reach, it.masks, near, least)
                         if share > best:
-                            best, said = share, best_overlap(it.answer, it.answer_masks, near) >= p.answer_lcs
+                            best, said = share, best_overlap(len(it.answer), it.answer_masks, near) >= p.answer_lcs
                     if best >= p.lcs or (best >= p.lcs_with_answer and said):
                         rows.append(i + tx)
                         keys.append(it.key)
-                        cosines.append(round(cos, 4))
+                        cosines.append(round(float(sims[hit, item][(of_text == tx) & (item == k)].max()), 4))
                         overlaps.append(round(best, 6))
                         answers.append(said)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(keys, key_type), pa.array(cosines, pa.float64()), pa.array(overlaps, pa.float64()), pa.array(answers, pa.bool_())], ["doc_id", id_name, "cosine", "overlap", "answer"])
