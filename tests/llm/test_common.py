@@ -3,13 +3,10 @@ from __future__ import annotations
 from glossa.llm.common import dropped, scratch, written
 
 
-def test_the_sessions_folder_is_used(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        assert scratch(spark, "x").startswith(f"file://{tmp_path}/glossa/x-") and scratch(spark, "x") != scratch(spark, "x")
-        df, path = written(spark.range(5), "five")
-        assert df.count() == 5 and len(list(tmp_path.rglob("*.parquet"))) > 0
-        dropped(spark, path)
-        assert not list(tmp_path.rglob("*.parquet"))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_tables_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(spark, "_glossa_scratch", f"file://{tmp_path}", raising=False)
+    assert scratch(spark, "x").startswith(f"file://{tmp_path}/glossa/x-") and scratch(spark, "x") != scratch(spark, "x")
+    df, path = written(spark.range(5), "five")
+    assert df.count() == 5 and len(list(tmp_path.rglob("*.parquet"))) > 0
+    dropped(spark, path)
+    assert not list(tmp_path.rglob("*.parquet"))
