@@ -1,7 +1,7 @@
 """Structured game documents: which texts they hold and where, and the documents with those texts replaced.
 
 A format is a loader, a rule that gives (path, text) pairs, and a writer. Paths are lists of keys and positions, as JSON; the step
-"{json}" enters a string that is itself JSON. Extraction maps over files; write-back groups a file with its texts.
+"{json}" enters a string that is itself JSON. Extraction maps over files; write-back joins a file with its texts.
 """
 
 from __future__ import annotations
@@ -363,14 +363,22 @@ def replaced(content: str, kind: str, texts: dict[str, str], ascii_only: bool =
 def rewritten(files: DataFrame, texts: DataFrame, kind: str, ascii_only: bool = False) -> DataFrame:
     """(file, content): files with texts (file, path, text) put back; of repeated paths the first by text wins. A file without texts stays as it is."""
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        new: dict[str, str] = {}
-        for path, text in right.sort_values(["path", "text"])[["path", "text"]].itertuples(index=False):
-            new.setdefault(path, text)
-        rows = [(f, replaced(c, kind, new, ascii_only) if new and c is not None else c) for f, c in left[["file", "content"]].itertuples(index=False)]
-        return pd.DataFrame(rows, columns=["file", "content"])
+    new = texts.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("path", "text"))).alias("_new"))
+    both = files.select("file", "content").join(new, "file", "left").select("file", "content", F.transform("_new", lambda x: x["path"]).alias("paths"), F.transform("_new", lambda x: x["text"]).alias("texts"))
 
-    return files.select("file", "content").groupBy("file").cogroup(texts.select("file", "path", "text").groupBy("file")).applyInPandas(run, "file string, content string")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for file, content, paths, new_texts in part.itertuples(index=False):
+                if content is not None and paths is not None:
+                    first: dict[str, str] = {}
+                    for path, text in zip(paths, new_texts, strict=True):
+                        first.setdefault(path, text)
+                    content = replaced(content, kind, first, ascii_only)
+                rows.append((file, content))
+            yield pd.DataFrame(rows, columns=["file", "content"])
+
+    return both.mapInPandas(run, "file string, content string")
 
 
 def user_strings(data: bytes) -> list[str]:
