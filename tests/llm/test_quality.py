@@ -79,6 +79,25 @@ def test_held_out_accuracy(spark, data):
     assert auc > 0.9
 
 
+def test_held_out_toxicity():
+    """With 2,000 labels, most toxic documents of the other half go and nearly all good ones stay."""
+    import os
+
+    import pandas as pd
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip(f"{folder} is missing")
+    both = pd.read_parquet(f"{folder}/labels.parquet").merge(pd.read_parquet(f"{folder}/documents.parquet", columns=["doc_id", "text"]), on="doc_id").sample(frac=1, random_state=1)
+    a, b = both[: len(both) // 2], both[len(both) // 2 :]
+    m = q.fit(pa.array(a.text, pa.large_string()), a[["quality", "toxic"]].to_numpy(float), q.QualityParams())
+    s = q.sigmoid(q.margins(pa.array(b.text, pa.large_string()), m.weights, m.bias, 18)[0])
+    keep = (s[:, 0] >= m.thresholds[0]) & (s[:, 1] < m.thresholds[1])
+    quality, toxic = b.quality.to_numpy(), b.toxic.to_numpy()
+    assert keep[(quality == 1) & (toxic == 0)].mean() >= 0.99
+    assert keep[toxic == 1].mean() <= 0.4 and keep[quality == 0].mean() <= 0.1
+
+
 def test_labelled_documents_are_kept_or_rejected(spark, data):
     scored = q.quality_scores(read(spark, data, "documents"), read(spark, data, "labels")).toPandas()
     both = scored.merge(read(spark, data, "labels").toPandas().rename(columns={"quality": "label"}), on="doc_id")
