@@ -6,6 +6,7 @@ cost 64 hash evaluations for each shingle. The share of equal values is an unbia
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,8 @@ class MinHashParams:
     rows_per_band: int = 5
     #: Least share of equal signature values.
     threshold: float = 0.6
+    #: Documents of a bucket that are held at once; larger buckets are compared block with block.
+    block: int = 1024
     seed: int = 7
 
 
@@ -111,12 +114,31 @@ def _verified(edges: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.select("doc", "rep", "s", "t").mapInArrow(run, "doc long, rep long, share double")
 
 
+def _joins(sig: np.ndarray, roots: np.ndarray, blocks: np.ndarray | None, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of rows that are alike and that tie together what roots and the pairs before don't; with blocks, of rows of different ones."""
+    group = np.unique(roots, return_inverse=True)[1]
+    out = []
+    for k in range(1, len(sig)):
+        other = group[:k] != group[k]
+        if blocks is not None:
+            other &= blocks[:k] != blocks[k]
+        rows = np.flatnonzero(other)
+        if not len(rows):
+            continue
+        for r in rows[(sig[rows] == sig[k]).mean(axis=1) >= threshold].tolist():
+            if group[r] != group[k]:
+                out.append((k, r))
+                group[group == group[r]] = group[k]
+    return out
+
+
 def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
     """(doc_id, group_id) of every document that has near copies; group_id is the smallest doc_id of its group.
 
     Documents with equal signatures are collapsed first. In each bucket of a band every document is compared with the bucket's
-    smallest id; those unlike it are compared among themselves in the same way, each with all that were unlike all before them, so
-    neither a bucket's size nor its number of candidates is capped. Groups are the connected components.
+    smallest id; in buckets whose documents that doesn't tie together, all pairs not yet tied are compared, block by block, so that
+    neither a bucket's size nor its number of candidates is capped. Groups are the connected components of all pairs that share a
+    band and pass the threshold.
 
     Rows with a null doc_id or without words (null, empty, signs only) are in no group; rows that repeat a doc_id are one document,
     of which the row with the smallest signature hash counts; an empty table gives an empty result; other columns are not read.
@@ -141,33 +163,47 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams()) -> Data
 
     bucket, bucket_path = written(led(sigs.mapInArrow(keys, "key long, doc long")), "bucket")
     checked, checked_path = written(_verified(bucket.select("doc", "rep").distinct(), sigs), "checked")
-    near = F.col("share") >= p.threshold
-    rest = bucket.join(checked.where(~near).select("doc", "rep"), ["doc", "rep"], "left_semi").select("key", "doc")
-    crowded = rest.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    rest = rest.join(crowded, "key", "left_semi").join(sigs.withColumnRenamed("doc_id", "doc"), "doc")
-
-    def lead(group: pa.Table) -> pa.Table:
-        """Each document with the first leader that it is like; those like none lead."""
-        docs = group.column("doc").to_numpy()
-        order = np.argsort(docs, kind="stable")
-        rows = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(docs), -1)[order]
-        docs = docs[order]
-        leaders = np.empty_like(rows)
-        who, a, b = [], [], []
-        for i in range(len(docs)):
-            like = np.flatnonzero((leaders[: len(who)] == rows[i]).mean(axis=1) >= p.threshold) if who else ()
-            if len(like):
-                a.append(docs[i])
-                b.append(who[like[0]])
-            else:
-                leaders[len(who)] = rows[i]
-                who.append(docs[i])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    alike = checked.where(near).select(F.col("doc").alias("a"), F.col("rep").alias("b")).union(rest.groupBy("key").applyInArrow(lead, "a long, b long").distinct())
+    led_edges = checked.where(F.col("share") >= p.threshold).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    tied, tied_path = written(components(led_edges), "tied")
+    # Documents that the leaders already tie together need no further comparison; all others of a bucket do, with every other member.
+    root = lambda c: tied.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+    known = bucket.join(root("doc"), "doc", "left").join(root("rep"), "rep", "left").select("key", "doc", "rep", F.coalesce("doc_root", "doc").alias("doc_root"), F.coalesce("rep_root", "rep").alias("rep_root"))
+    known, known_path = written(known, "known")
+    mixed = known.groupBy("key").agg((F.count("*") + 1).alias("m"), F.max(F.col("doc_root") != F.col("rep_root")).alias("mixed")).where("mixed and m > 2").select("key", F.ceil(F.col("m") / p.block).cast("int").alias("blocks"))
+    member = known.select("key", "doc", F.col("doc_root").alias("root")).union(known.select("key", F.col("rep").alias("doc"), F.col("rep_root").alias("root")).distinct())
+    member = member.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = member.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "root").join(sigs.withColumnRenamed("doc_id", "doc"), "doc")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges that join the members of each (key, i, j), which follow each other; the last of a batch may go on in the next."""
+        held = None
+        for b in itertools.chain(batches, (None,)):
+            t = held if b is None else pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if t is None or not t.num_rows:
+                continue
+            at = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
+            cut = np.concatenate(([0], np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1))
+            whole = t.num_rows if b is None else int(cut[-1])
+            held = None if b is None else t.slice(whole)
+            if not whole:
+                continue
+            t = t.slice(0, whole)
+            docs, roots, blocks, i, j = (t.column(c).to_numpy() for c in ("doc", "root", "block", "i", "j"))
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(whole, -1)
+            ends = np.append(cut[cut < whole], whole).tolist()
+            x, y = [], []
+            for f, g in zip(ends[:-1], ends[1:], strict=True):
+                edges = _joins(sig[f:g], roots[f:g], blocks[f:g] if i[f] != j[f] else None, p.threshold)
+                x += [docs[f + k] for k, _ in edges]
+                y += [docs[f + k] for _, k in edges]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    more = member.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "block", "doc", "root", "sig").mapInArrow(compared, "a long, b long")
+    alike = tied.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more.distinct())
     roots, roots_path = written(components(alike), "roots")
     groups = exact.join(roots, exact.rep == roots.id, "left").select("doc_id", F.coalesce("root", "rep").alias("group_id"))
-    dropped(spark, signed_path, sigs_path, bucket_path, checked_path)
+    dropped(spark, signed_path, sigs_path, bucket_path, checked_path, tied_path, known_path)
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
     return groups.join(sizes, "group_id", "left_semi").select("doc_id", "group_id")
 

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from glossa.llm import minhash as m
 from glossa.llm import textvec as tv
@@ -95,6 +97,33 @@ def test_large_group_and_shared_beginning(spark):
     assert got == {i: 0 for i in range(300)}
 
 
+def star(seed: int, copies: int) -> list[str]:
+    """Copies that keep another 85 % of an original's passages each: near the original, seldom near one another; the original is last."""
+    r = random.Random(seed)
+    passages = [prose(100_000 * seed + i, 30) for i in range(60)]
+    fresh = iter(range(10**9))
+    mark = "\n".join
+    return [mark(x if r.random() < 0.85 else prose(10**8 * seed + next(fresh), 30) for x in passages) for _ in range(copies)] + [mark(passages)]
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_every_pair_of_a_band_is_compared(spark, block):
+    """Groups are the components of all pairs that share a band and pass the threshold, though only the last document ties them together."""
+    texts = [t for seed in (1, 2) for t in star(seed, 60)]
+    p = m.MinHashParams(**({"block": block} if hasattr(m.MinHashParams(), "block") else {}))
+    sig, _ = m.signatures(pa.array(texts, pa.large_string()), p)
+    bands = m.band_keys(sig, p.rows_per_band)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (bands[i] == bands[j]).any() and (sig[i] == sig[j]).mean() >= p.threshold and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    want = {i: x for i, x in enumerate(root) if root.count(x) > 1}
+    assert len(want) > 110
+    assert dict(m.near_duplicates(table(spark, [row(i, t) for i, t in enumerate(texts)]), p).collect()) == want
+
+
 def test_odd_rows(spark):
     docs = table(spark, odd_rows() + [row(30, "!!! ???"), row(31, prose(2, 60_000)), row(32, "ONE."), row(33, "")], clash=True)
     assert rows_of(m.near_duplicates(docs)) == [(31, 5), (32, 9), (5, 5), (6, 6), (7, 6), (9, 9)]
