@@ -24,8 +24,8 @@ from .graph import components, without
 class MinHashParams:
     shingle: int = 3
     permutations: int = 64
-    #: Signature values in a band; bands as many as whole ones fit (25).
-    rows_per_band: int = 5
+    #: Signature values in a band; bands as many as whole ones fit (32).
+    rows_per_band: int = 4
     #: Least share of equal signature values.
     threshold: float = 0.6
     #: Documents of a bucket that are held at once; larger buckets are compared block with block.

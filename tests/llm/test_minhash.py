@@ -45,6 +45,14 @@ def test_signature_is_minimum_and_maximum_of_each_permutation():
             assert (sig[i, 2 * k], sig[i, 2 * k + 1]) == (min(y) & 0xFFFF, max(y) & 0xFFFF)
 
 
+def test_a_pair_at_the_threshold_becomes_a_candidate():
+    """Of pairs with 0.6 of their signature values equal at least 0.9 share a band, as asked for at the operator's own threshold."""
+    p, r = m.MinHashParams(), np.random.default_rng(5)
+    a = r.integers(0, 2**16, (2000, 2 * p.permutations)).astype(np.uint16)
+    b = np.where(r.random(a.shape) < p.threshold, a, a ^ np.uint16(1))
+    assert (m.band_keys(a, p.rows_per_band) == m.band_keys(b, p.rows_per_band)).any(axis=1).mean() >= 0.95
+
+
 def test_estimate_is_unbiased():
     base = prose(7, 400)
     other = edited(base, 12)
