@@ -1,6 +1,8 @@
 """Secret scan: a character convolutional network in numpy over every candidate string and its surroundings.
 
 A candidate is a run of at least ``min_run`` key characters with a digit, or of at least ``min_assigned`` of them after ``=`` or ``:``.
+So is every value of at least ``min_assigned`` bytes after ``=`` or ``:`` that holds other characters: all that stands between quotes, or
+up to white space. Findings that overlap are one.
 The network embeds characters, convolves them, takes the maxima of three regions (before, candidate, after) and
 a hidden layer. It is trained on labelled findings, calibrated (Platt) on one part of them, and its threshold is the largest that
 keeps the required recall on another.
@@ -93,6 +95,53 @@ def candidates(data: np.ndarray, offsets: np.ndarray, p: SecretParams) -> tuple[
     return text[keep], s[keep], e[keep]
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[:33] = _BLANK[127] = True
+_CLOSE = np.zeros(256, bool)
+for _c in b"\"'`,;)]}>":
+    _CLOSE[_c] = True
+
+
+def assigned(data: np.ndarray, offsets: np.ndarray, p: SecretParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first byte and end of the values after = or : that hold other characters than those of a run.
+
+    A value in quotes goes to the same quote in its line; one without, or whose quote isn't closed, to white space, without closing
+    marks at its end.
+    """
+    sign = np.flatnonzero((data == 61) | (data == 58))
+    if not len(sign):
+        return sign, sign, sign
+    text = np.searchsorted(offsets, sign, side="right") - 1
+    end = offsets[text + 1]
+    last = len(data) - 1
+    at, quote, open_ = sign + 1, np.zeros(len(sign), np.uint8), np.ones(len(sign), bool)
+    for _ in range(4):
+        c = data[np.minimum(at, last)]
+        open_ &= (at < end) & _SKIP[c] & (quote == 0)
+        quote = np.where(open_ & (c != 32) & (c != 9), c, quote)
+        at = at + open_
+
+    def following(marks: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        where = np.append(np.flatnonzero(marks), len(data))
+        return np.minimum(where[np.searchsorted(where, at)], end)
+
+    stop = following(_BLANK[data], at, end)
+    line = following((data == 10) | (data == 13), at, end)
+    escaped = np.concatenate(([False], data[:-1] == 92))
+    closed = np.zeros(len(sign), bool)
+    for q in b"\"'`":
+        k = np.flatnonzero(quote == q)
+        if len(k):
+            to = following((data == q) & ~escaped, at[k], end[k])
+            closed[k] = to < line[k]
+            stop[k] = np.where(closed[k], to, stop[k])
+    while (trim := ~closed & (stop > at) & _CLOSE[data[np.maximum(stop - 1, 0)]]).any():
+        stop = stop - trim
+    others = np.concatenate(([0], np.cumsum(~_RUN[data])))
+    keep = (stop - at >= p.min_assigned) & (others[np.maximum(stop, at)] > others[np.minimum(at, len(data))])
+    return text[keep], at[keep], stop[keep]
+
+
 def windows(data: np.ndarray, offsets: np.ndarray, text: np.ndarray, s: np.ndarray, e: np.ndarray, p: SecretParams) -> np.ndarray:
     """(candidates x length) symbols: before | first and last characters of the candidate | after, padded with 0."""
     size = p.before + p.head + p.tail + p.after
@@ -196,8 +245,18 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
     def other() -> str:
         return r.choice([lambda: str(uuid.UUID(bytes=r.randbytes(16))), lambda: pick(hexa, 40), lambda: pick(hexa, 32), lambda: pick(string.digits, r.choice([16, 16, 13, 19, 17])), lambda: "-".join(pick(string.digits, 4) for _ in range(4)), lambda: "/".join(pick(syll, 2).replace("é", "e").replace("ß", "s").replace("ü", "u") for _ in range(r.randint(2, 5))) + f"/{r.randint(1, 99)}.html", lambda: f"202{r.randint(0, 9)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T12:00:00.000000", lambda: "_".join(pick(["user", "item", "row", "max", "min", "size", "value", "data"], 1) for _ in range(4)) + str(r.randint(0, 99)), lambda: pick(["an", "ti", "or", "the", "ed", "ing"], r.randint(5, 9)) + str(r.randint(0, 9)), lambda: "v1.2.3-" + pick(string.digits, 8) + "-rc1", lambda: "=" * r.randint(16, 40) + "1", lambda: "www.example.com/item/" + pick(string.digits, 6)])()
 
+    def signed() -> str:
+        marks = "!@#$%^&*?()[]{}<>|+-_=.~:;,"
+        word = "".join(r.choice([c, c, c.upper(), {"a": "@", "e": "3", "i": "1", "o": "0", "s": "$"}.get(c, c)]) for c in pick(["an", "ti", "or", "pass", "ed", "word", "tro", "dor", "blue", "cat"], r.randint(2, 4)))
+        mixed = pick(alnum + marks, r.randint(8, 24))
+        return r.choice([word + r.choice(marks[:10]) + pick(string.digits, r.randint(1, 4)), word + pick(string.digits, r.randint(1, 4)) + r.choice(marks[:10]), mixed]).rstrip(",;)]}>") + r.choice(["!", "7", "x", "2", "#"])
+
+    def wordy() -> str:
+        w = [pick(["an", "ti", "or", "the", "ed", "ing", "re", "st", "é"], r.randint(1, 4)) for _ in range(r.randint(2, 12))]
+        return r.choice([lambda: " ".join(w) + r.choice(["", ".", "!"]), lambda: ", ".join(w), lambda: "#" + pick(hexa, 6) + ";" + w[0] + ":#" + pick(hexa, 6), lambda: f"//www.{w[0]}.example/{w[1]}?id={pick(string.digits, 4)}&page={r.randint(1, 9)}", lambda: f"12:{r.randint(10, 59)}:45,{pick(string.digits, 3)}", lambda: f"{w[0]}({w[1]})", lambda: f"{w[0]}@{w[1]}.example", lambda: f"{r.randint(1, 99)}%;{w[0]}:{r.randint(1, 99)}px"])()
+
     def hollow() -> str:
-        return r.choice(["your_api_key_here", "xxxxxxxxxxxxxxxxxxxx", "changeme_please_1", "REPLACE_WITH_TOKEN", "0000000000000000", "1234567890123456", "<redacted_value_1>", "example_password_1", "not_a_real_secret1", "os.environ.get.TOKEN1", "None_or_default_value1"])
+        return r.choice(["${DB_PASSWORD}", "<your-password>", "{{ vault_password }}", "%(password)s", "os.environ['DB_PASS']", "$(get_secret 1)", "********", "must be at least 8 characters!"] if r.random() < 0.3 else ["your_api_key_here", "xxxxxxxxxxxxxxxxxxxx", "changeme_please_1", "REPLACE_WITH_TOKEN", "0000000000000000", "1234567890123456", "<redacted_value_1>", "example_password_1", "not_a_real_secret1", "os.environ.get.TOKEN1", "None_or_default_value1"])
 
     out = []
     for i in range(n):
@@ -208,7 +267,7 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
             name = r.choice(names)
             name = name.upper() if about.isupper() or r.random() < 0.15 else name
             roll = r.random()
-            cand = key() if roll < 0.85 else pick(alnum + "_-", r.randint(10, 18))
+            cand = key() if roll < 0.7 else signed() if roll < 0.85 else pick(alnum + "_-", r.randint(10, 18))
             front = f"{about} {name}{sign}{q}" if roll < 0.95 else f"{about} Bearer "
             if roll < 0.2 and any(cand.startswith(x) for x in ("AKIA", "ghp_", "xoxb", "sk_l", "eyJ", "AIza", "glpat")):
                 front, q = about + " ", ""
@@ -217,8 +276,11 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
             roll = r.random()
             if roll < 0.5:
                 out.append((about + " ", other(), f" {then}", 0))
+            elif roll < 0.56:
+                w = [pick(["an", "ti", "or", "the", "ed", "ing", "re", "st"], r.randint(1, 4)) for _ in range(4)]
+                out.append((f"{about} {r.choice(['http', 'https'])}:", r.choice([f"//www.{w[0]}.example/{w[1]}", f"//{w[0]}.example/{w[1]}/{w[2]}"]) + "?" + "&".join(f"{x}={r.choice([str(r.randint(0, 999)), w[3]])}" for x in [*w[:2], "a", "b", "id"][: r.randint(1, 5)]), f" {then}", 0))
             elif roll < 0.85:
-                out.append((f"{about} {r.choice(plain)}{sign}{q}", other() if r.random() < 0.8 else pick(syll, 5), f"{q} {then}", 0))
+                out.append((f"{about} {r.choice(plain)}{sign}{q}", other() if (kind := r.random()) < 0.6 else wordy() if kind < 0.85 else pick(syll, 5), f"{q} {then}", 0))
             else:
                 out.append((f"{about} {r.choice(names)}{sign}{q}", hollow(), f"{q} {then}", 0))
     return out
@@ -276,10 +338,15 @@ def scan(column: pa.Array, net: Network) -> tuple[np.ndarray, np.ndarray, np.nda
     values: list[bytes] = []
     for a, b in tv.chunks(column, 1 << 20):
         data, offsets = tv.buffers(column.slice(a, b - a))
-        text, s, e = candidates(data, offsets, net.p)
+        text, s, e = (np.concatenate(x) for x in zip(candidates(data, offsets, net.p), assigned(data, offsets, net.p), strict=True))
         prob = net.probability(windows(data, offsets, text, s, e, net.p))
         hit = np.flatnonzero(prob >= net.threshold)
         if len(hit):
+            hit = hit[np.lexsort((e[hit], s[hit]))]
+            text, s, e, prob = text[hit], s[hit], e[hit], prob[hit]
+            first = np.flatnonzero(np.concatenate(([True], s[1:] >= np.maximum.accumulate(e)[:-1])))
+            text, s, e, prob = text[first], s[first], np.maximum.reduceat(e, first), np.maximum.reduceat(prob, first)
+            hit = np.arange(len(first))
             found.append((a + text[hit], _code_points(data, offsets, text[hit], s[hit]), _code_points(data, offsets, text[hit], e[hit]), prob[hit]))
             values += [data[s[i] : e[i]].tobytes() for i in hit]
     if not found:

@@ -86,6 +86,30 @@ def test_whole_texts_of_any_length():
     assert values.count(key.encode()) == 2 and far[int(a[values.index(key.encode())]) : int(b[values.index(key.encode())])] == key
 
 
+VALUES = ["P@ssw0rd!2024", "x9$Kq#7!vL@2", "Tr0ub4dor&3"]
+
+
+def test_values_with_signs_are_whole_candidates():
+    p = s.SecretParams()
+    for value in [*VALUES, "two words, é!"]:
+        for text in (f'é password = "{value}" more', f"\"db_password\": '{value}',\nx", *([f"pwd={value}, more", f"DB_PASSWORD={value}", f"pwd := {value}\n"] if " " not in value else [])):
+            data, offsets = tv.buffers(tv.strings(pa.array(["", text, None, text])))
+            i, a, b = s.assigned(data, offsets, p)
+            assert [(int(k), data[x:y].tobytes().decode()) for k, x, y in zip(i, a, b, strict=True)] == [(1, value), (3, value)], text
+    data, offsets = tv.buffers(tv.strings(pa.array(["password: short!", "key = 'abcdefgh1'", "x=", ":", "a = 'no end here"])))
+    assert len(s.assigned(data, offsets, p)[0]) == 0
+
+
+@pytest.mark.parametrize("value", VALUES)
+def test_values_with_signs_are_found_and_masked_whole(spark, value):
+    texts = [f'Lorem ipsum password = "{value}" dolor sit', f'db_password: "{value}"', f"DB_PASSWORD={value}\nnext"]
+    out = s.redacted(table(spark, [row(i, t) for i, t in enumerate(texts)])).collect()
+    for r in out:
+        assert s.MASK in r.text and not any(value[k : k + 4] in r.text for k in range(len(value) - 3)), r.text
+    prose_like = 'He said: "what a day, is it not?" and style="width:100%;height:20px" at https://www.example.com/a?b=1&c=2'
+    assert len(s.scan(pa.array([prose_like], pa.large_string()), s.train())[0]) == 0
+
+
 def test_redaction_takes_every_finding_and_nothing_else(spark):
     key = "ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8"
     text = f"é first token = '{key}' and {key} then words " + prose(3, 20)
