@@ -73,6 +73,24 @@ def test_longest_exact_run_against_brute_force():
             assert bool(at) == (brute_spans(t, seq, None) == 1)
 
 
+def test_planted_kinds_headers_and_whole_files():
+    scanner = li.Scanner(li.TEMPLATES, li.LicenseParams())
+
+    def names(text):
+        return scanner.scan(pa.array([prose(1, 30) + "\n" + text + "\n" + prose(2, 30)], pa.large_string()))[1]
+
+    kinds = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+    for text, name in kinds.items():
+        assert names(text) == [name], text
+    header = "you can redistribute it and/or modify it\n# under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version."
+    for kind, version, name in (("", 3, "GPL-3.0"), ("", 2, "GPL-2.0"), ("Lesser ", 3, "LGPL-3.0"), ("Affero ", 3, "AGPL-3.0")):
+        assert names(header.format(kind, version)) == [name]
+    for name in ("AGPL-3.0", "Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"):
+        words = li.TEMPLATES[name][-1].split()
+        assert len(words) > 1000
+        assert names(" ".join(w for i, w in enumerate(words) if i % 97 != 50)) == [name]
+
+
 def test_edited_and_interrupted_texts():
     scanner = li.Scanner(li.TEMPLATES, li.LicenseParams())
     mit = li.TEMPLATES["MIT"][3].split()
