@@ -53,26 +53,38 @@ def test_passing_over_stretches_changes_nothing():
         assert d.best_overlap(len(a), d.bit_masks(a), b, 0.55) == (full if full >= 0.55 - 1e-12 else 0.0)
 
 
+def index_of(texts: list[str], corpus: list[str] = (), p: d.LsiParams = d.LsiParams()) -> d.Index:
+    weights = d.Weights(np.ones(1 << p.bits), 1000, p)
+    return d.Index(d.items_of([(k, x, None) for k, x in enumerate(texts)]), weights, np.zeros((1 << p.bits, 1), np.float32), p)
+
+
 def test_possible_keeps_all_that_overlap():
     r = random.Random(3)
+    names = [f"w{i}" for i in range(41)]
     items = [[r.randint(0, 40) for _ in range(n)] for n in (5, 20, 37, 60)]
-    member = np.zeros((4, 51), bool)
-    for k, x in enumerate(items):
-        member[k, x] = True
-    slots = np.array([r.randint(0, 50) for _ in range(3000)])
+    index = index_of([" ".join(names[i] for i in x) for x in items])
+    text = [r.randint(0, 50) for _ in range(3000)]
     for k, x in enumerate(items):  # planted copies
-        slots[200 + 300 * k : 200 + 300 * k + len(x)] = x
+        text[200 + 300 * k : 200 + 300 * k + len(x)] = x
+    hashes = tv.tokenize(pa.array([" ".join(names[i] if i < 41 else "foreign" for i in text)], pa.large_string())).hashes
+    slots = np.full(3000, -1)
+    at, slot = index.vocab.find(hashes)
+    slots[at] = slot
     lo = np.array([r.randint(0, 2900) for _ in range(500)] + [150, 450, 750, 1050])
     hi = np.minimum(lo + 150, 3000)
     item = np.array([r.randrange(4) for _ in range(500)] + [0, 1, 2, 3])
-    sizes = np.array([len(x) for x in items])
-    keep = d.possible(slots, lo, hi, item, member, sizes, 0.55)
+    keep = index.possible(slots, lo, hi, item, np.full(len(item), 0.55))
     assert keep[-4:].all() and not keep.all()
     for a, b, k, ok in zip(lo, hi, item, keep, strict=True):
-        if d.best_overlap(len(items[k]), d.bit_masks(items[k]), slots[a:b].tolist(), 0.55) > 0:
+        if d.best_overlap(len(items[k]), index.items[k].masks, hashes[a:b].tolist(), 0.55) > 0:
             assert ok
 
 
+def test_passages_are_pairs_of_blocks():
+    start, two = d.joined(np.array([0, 3, 3, 4, 6]))
+    assert start.tolist() == [0, 1, 3, 4] and two.tolist() == [True, True, False, True]
+
+
 def test_sums_of_rows():
     rng = np.random.default_rng(0)
     table_ = rng.normal(size=(50, 7))
@@ -120,12 +132,64 @@ def test_paraphrases_and_clean_documents(spark):
     assert not {p for p in got if p[0] >= 200}
 
 
-def test_more_items_than_the_rank(spark):
+def test_results_of_an_item_do_not_depend_on_the_others(spark):
     items = [(k, prose(8000 + k, 20)) for k in range(50)]
     rows = [row(k, prose(9000 + k, 30) + " " + t) for k, t in items] + [row(100, prose(1, 50))]
-    p = d.LsiParams(rank=24, pass_items=20)
-    got = {(x.doc_id, x.item_id) for x in d.contaminated(table(spark, rows), spark.createDataFrame(items, ITEMS), p).collect()}
-    assert got == {(k, k) for k, _ in items}
+    docs = table(spark, rows)
+    whole = rows_of(d.contaminated(docs, spark.createDataFrame(items, ITEMS)))
+    assert {(x[0], x[1]) for x in whole} == {(k, k) for k, _ in items}
+    assert rows_of(d.contaminated(docs, spark.createDataFrame(items[::-1], ITEMS), d.LsiParams(pass_bytes=500))) == whole
+    assert rows_of(d.contaminated(docs, spark.createDataFrame(items[7:9], ITEMS))) == [x for x in whole if x[1] in (7, 8)]
+
+
+def synonyms(spark, kept: int):
+    """A corpus of topics whose words come in pairs of synonyms, used at random; items, and paraphrases in synonyms but for the words from ``kept`` on and, with these, a few more."""
+    r = random.Random(9)
+    vocab = prose(77, 400).split()
+    topics = [[(vocab[20 * k + 2 * i], vocab[20 * k + 2 * i + 1]) for i in range(10)] for k in range(20)]
+    text = lambda k, n: [r.choice(r.choice(topics[k])) for _ in range(n)]
+    rows = [row(1000 + i, " ".join(text(i % 20, 96))) for i in range(400)]
+    items, other = [], []
+    for k in range(20):
+        picks = [(r.randrange(10), r.randrange(2)) for _ in range(24)]
+        items.append((k, " ".join(topics[k][i][j] for i, j in picks)))
+        other.append(row(k, " ".join(topics[k][i][j if n >= kept or (n % 6 == 0 and kept < 24) else 1 - j] for n, (i, j) in enumerate(picks))))
+    return table(spark, rows + other), items
+
+
+def test_the_latent_space_finds_paraphrases(spark):
+    """Passages in synonyms that only the corpus links are candidates in the latent space, and aren't without it."""
+    docs, items = synonyms(spark, 24)
+    p = d.LsiParams(max_df=0.5, rank=24, bits=13)
+    weights = d._frequencies(docs, p)
+    space = d.latent_space(docs, weights, p)
+    assert space.shape[1] == 24 and np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-4)
+    texts = {r.doc_id: r.text for r in docs.where("doc_id < 1000").collect()}
+    # Two words of one pair have nearly the same direction; words of different topics don't.
+    found, plain = 0, 0
+    for k, text in items:
+        t = tv.tokenize(pa.array([texts[k]], pa.large_string()))
+        one = d.items_of([(k, text, None)])
+        *_, near = d.Index(one, weights, space, p).candidates(t)
+        found += bool(near.any())
+        # The identity in place of the space: the cosine of the vectors themselves.
+        v = d.Index(one, weights, np.eye(1 << p.bits, dtype=np.float32)[:, np.unique(weights.features(np.concatenate((t.hashes, np.array(one[0].words, np.uint64)))))], p)
+        *_, near = v.candidates(t)
+        plain += bool(near.any())
+    assert found >= 18 and plain == 0
+    far = d.Index(d.items_of([(0, items[0][1], None)]), weights, space, p)
+    assert not far.candidates(tv.tokenize(pa.array([texts[5]], pa.large_string())))[0].size
+
+
+def test_latent_candidates_decide_with_the_answer(spark):
+    """A paraphrase with the whole answer and little else in common is reported, which the words' overlap alone wouldn't do."""
+    docs, items = synonyms(spark, 18)
+    p = d.LsiParams(max_df=0.5, rank=24, bits=13)
+    bench = spark.createDataFrame(items, ITEMS)
+    got = {(x.doc_id, x.item_id): x.overlap for x in d.contaminated(docs.where("doc_id < 1000"), bench, d.LsiParams(max_df=0.5, latent=1.1, bits=13)).collect()}
+    some = {(x.doc_id, x.item_id): x.overlap for x in d.contaminated(docs, bench, p).where("doc_id < 1000").collect()}
+    new = [k for k in range(20) if (k, k) in some and (k, k) not in got]
+    assert all(a == b for a, b in some) and any(some[k, k] < 0.55 for k in new)
 
 
 def test_given_answers(spark):
