@@ -121,17 +121,20 @@ def solve(cells: DataFrame, p: MixingParams = MixingParams()) -> Dual:
 def document_rates(docs: DataFrame, p: MixingParams = MixingParams(), token_col: str | None = None) -> DataFrame:
     """(doc_id, source, lang, tokens, rate, copies) of every row of docs.
 
-    Copies are the steps of the running sum of rates within a source (in the order of a hash of doc_id), rounded to whole numbers:
+    Copies are the steps of the running sum of rates within a source (in the order of a hash of doc_id and text), rounded to whole numbers:
     each document gets the floor or the ceiling of its rate and a source's copies differ from its sum of rates by less than 1. The
     running sum is taken over buckets of bounded size, so a hot source doesn't fall to one task.
 
-    A null source or language is a category of its own. A text that is null or blank has 0 tokens; it bears no constraint and has
+    Up to 100,000 sources their bucket counts are broadcast, beyond that they are joined by a shuffle; the rows are the same. A null source
+    or language is a category of its own. A text that is null or blank has 0 tokens; it bears no constraint and has
     the rate of its source and language, or 1 where these have no tokens at all. Repeated rows count as often as they occur. A
     source that targets leave out has rate 0. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     tokens = F.coalesce(F.col(token_col).cast("long"), F.lit(0)) if token_col else token_count(F.col("text").cast("string"))
-    lean, _ = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), tokens.alias("tokens")), "tokens")
+    # Equal ids (null, say) are told apart by their text, so that they don't fall into one bucket.
+    place = F.xxhash64("doc_id", F.col("text").cast("string")) if "text" in [c.lower() for c in docs.columns] else F.xxhash64("doc_id")
+    lean, _ = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), tokens.alias("tokens"), place.alias("_h")), "tokens")
     lean = lean.withColumn("src", F.coalesce("source", F.lit(NONE))).withColumn("lng", F.coalesce("lang", F.lit(NONE)))
     dual = solve(lean.groupBy("src", "lng").agg(F.sum("tokens").alias("tokens")), p)
     weights = spark.createDataFrame([(s, float(dual.lam[i])) for i, s in enumerate(dual.sources)] or [(NONE, 0.0)], "src string, ls double")
@@ -140,7 +143,7 @@ def document_rates(docs: DataFrame, p: MixingParams = MixingParams(), token_col:
     rate = F.when(F.col("ls").isNull() | F.col("ll").isNull(), F.lit(1.0)).otherwise(F.exp(F.col("ls") + F.col("ll")))
     count = lean.groupBy("src").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(p.rows_per_bucket))).cast("long").alias("buckets"))
     u = rated.withColumn("rate", F.round(rate, 9)).join(F.broadcast(count) if len(dual.sources) <= 100_000 else count, "src")
-    u = u.withColumn("_h", F.xxhash64("doc_id")).withColumn("_b", F.pmod("_h", "buckets"))
+    u = u.withColumn("_b", F.pmod("_h", "buckets"))
     totals = u.groupBy("src", "_b").agg(F.sum("rate").alias("part"))
     before = totals.withColumn("base", F.coalesce(F.sum("part").over(Window.partitionBy("src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("part")
     inside = Window.partitionBy("src", "_b").orderBy("_h", "doc_id", "tokens", "lng").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -153,9 +156,13 @@ def document_rates(docs: DataFrame, p: MixingParams = MixingParams(), token_col:
 def mixed(docs: DataFrame, p: MixingParams = MixingParams()) -> DataFrame:
     """docs with every document as often as its copies say, and the columns rate and copy (1, 2, ...); these replace columns of the same names.
 
-    Rows that share a doc_id (null included) get the largest rate and copies among them.
+    Rows that share a doc_id (null included) get the largest rate and copies among them. Texts that are null, empty or blank stay with the
+    rate of their source and language; repeated rows are repeated each; an empty table gives an empty result; columns of any other name
+    stay.
     """
-    rates = document_rates(docs, p).groupBy(F.col("doc_id").alias("_id")).agg(F.max("rate").alias("_rate"), F.max("copies").alias("copies")).where("copies > 0")
-    base = docs.drop("rate", "copy", "copies")
-    joined = base.join(rates.hint("shuffle_hash"), base["doc_id"].eqNullSafe(rates["_id"]))
-    return joined.select(*[base[c] for c in base.columns], F.col("_rate").alias("rate"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    names = [c for c in docs.columns if c.lower() not in ("rate", "copy")]
+    base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    key = f"c{[c.lower() for c in names].index('doc_id')}"
+    rates = document_rates(docs, p).groupBy(F.col("doc_id").alias("id")).agg(F.max("rate").alias("rate"), F.max("copies").alias("copies")).where("copies > 0")
+    joined = base.join(rates.hint("shuffle_hash"), base[key].eqNullSafe(rates["id"]))
+    return joined.select(*base.columns, "rate", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).toDF(*names, "rate", "copy")

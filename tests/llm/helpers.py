@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use themselves; they must not mind a table that has them too.
-CLASHES = ("_id", "_gone", "rep", "h", "g", "k", "rank", "rate", "copy", "keep", "quality", "toxic", "tokens", "digest", "group_id", "src", "term", "score")
+CLASHES = ("_id", "_gone", "rep", "h", "g", "k", "rank", "rate", "copy", "keep", "quality", "toxic", "tokens", "digest", "group_id", "src", "term", "score", "_rate", "copies", "_h", "_b", "c0", "c1", "gone", "_u")
 
 
 def prose(seed: int, n: int) -> str:

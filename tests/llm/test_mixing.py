@@ -99,3 +99,11 @@ def test_a_source_without_target_goes(spark):
     docs = table(spark, [row(i, prose(i, 10), "en", "ab"[i % 2]) for i in range(10)])
     got = x.document_rates(docs, x.MixingParams(targets={"a": 1.0})).collect()
     assert {(r.source, r.rate > 0, r.copies > 0) for r in got} == {("a", True, True), ("b", False, False)}
+
+
+def test_null_ids_are_spread_over_buckets(spark):
+    docs = table(spark, [row(None, prose(i, 20), "en", "a") for i in range(300)] + [row(i, prose(i, 30), "en", "b") for i in range(50)])
+    got = x.document_rates(docs, x.MixingParams(targets={"a": 1.0, "b": 1.0}, rows_per_bucket=10)).collect()
+    assert len(got) == 350
+    for s in "ab":
+        assert abs(sum(r.copies - r.rate for r in got if r.source == s)) < 1
