@@ -94,7 +94,7 @@ def fit(texts: pa.Array, labels: np.ndarray, p: QualityParams) -> QualityModel:
         rows += [(np.append(index[i:j], dim), np.append(value[i:j], np.float32(1))) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
     known = ~np.isnan(labels)
     y = np.nan_to_num(labels)
-    hold = np.arange(len(rows)) % p.holdout == p.holdout - 1 if len(rows) >= 8 * p.holdout else np.zeros(len(rows), bool)
+    hold = np.arange(len(rows)) % p.holdout == p.holdout - 1
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((p.beta + np.sqrt(ni)) / alpha + p.l2))
@@ -111,7 +111,7 @@ def fit(texts: pa.Array, labels: np.ndarray, p: QualityParams) -> QualityModel:
             n[:, index] = nn
     w = weights(z, n).astype(np.float32)
     thresholds = np.array([0.0, 2.0])  # nothing is rejected where the held-out rows show no difference
-    at = np.flatnonzero(hold if hold.any() else np.ones(len(rows), bool))
+    at = np.flatnonzero(hold)
     scores = np.array([sigmoid(w[:, rows[i][0]] @ rows[i][1]) for i in at]).reshape(-1, heads)
     for h, good in ((0, 1), (1, 0)):
         s = scores[:, h] if h == 0 else -scores[:, h]
@@ -133,14 +133,17 @@ def fit(texts: pa.Array, labels: np.ndarray, p: QualityParams) -> QualityModel:
 def train(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> QualityModel:
     """Fit on at most ``max_train_rows`` labelled documents, in one task of bounded size.
 
-    Rows with a null id, text or both labels don't count; of repeated rows of one id one counts. Without rows every weight is 0.
+    Rows with a null id, text or both labels don't count. Of the documents that share an id the smallest text counts, once; of labels
+    that do, the smaller quality and the larger toxicity. Every ``holdout``-th row only sets the thresholds; where these rows don't
+    hold both kinds of a label, its head rejects nothing. The first penalty is in proportion to the number of rows. Empty and
+    very long texts are rows like others. Without rows every weight is 0.
     """
     spark = docs.sparkSession
     lab = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
     lab = lab.where("_id is not null and (quality is not null or toxic is not null)").groupBy("_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     lab = lab.orderBy(F.xxhash64("_id"), "_id").limit(p.max_train_rows)  # a bounded table: a few bytes for each of at most max_train_rows rows
     d = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = d.join(F.broadcast(lab), "_id").repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", "text")
+    rows = d.join(F.broadcast(lab), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", "text")
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, ys = [], []
@@ -162,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()
 def score(docs: DataFrame, model: QualityModel, p: QualityParams = QualityParams(), carry: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """Every row's (carried columns,) quality, toxicity and keep; one narrow pass, no shuffle.
 
-    A null, empty or blank text has quality 0, toxicity 0 and isn't kept. Rows repeat as they do in docs; only doc_id and text
+    A null, empty or blank text has quality 0, toxicity 0 and isn't kept; a text of any length is scored whole. Rows repeat as they do in docs; only doc_id and text
     (or the carried columns) are read, so other columns may have any name. With no training rows every text scores 0.5 and stays.
     """
     carry = ["doc_id"] if carry is None else carry
@@ -184,16 +187,20 @@ def score(docs: DataFrame, model: QualityModel, p: QualityParams = QualityParams
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
-    """doc_id, quality, toxicity and keep of every document, from a model trained on the labels."""
+    """doc_id, quality, toxicity and keep of every row of docs, from a model trained on the labels; odd rows are treated as ``train`` and ``score`` say."""
     return score(docs, train(docs, labels, p), p)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
-    """The rows of docs, all columns, that the classifier keeps."""
+    """The rows of docs, all columns, that the classifier keeps.
+
+    Null, empty and blank texts go; null ids don't matter; repeated rows all stay or all go; without usable labels every row with a word
+    stays; an empty table gives an empty one; columns of any name stay. docs without a column text is an error.
+    """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = {n.lower(): i for i, n in enumerate(names)}
     if "text" not in at:
-        return docs
+        raise ValueError("docs has no column text")
     kept = score(plain, train(docs, labels, p), p, carry=plain.columns, text_col=f"c{at['text']}").where("keep")
     return kept.select(*plain.columns).toDF(*names)

@@ -124,3 +124,13 @@ def test_empty_tables_and_no_labels(spark):
     assert rows_of(q.quality_scores(none, spark.createDataFrame([], LABELS))) == []
     got = q.quality_scores(table(spark, [row(1, "some words"), row(2, None)]), spark.createDataFrame([], LABELS)).collect()
     assert [(r.doc_id, r.quality, r.keep) for r in sorted(got, key=lambda r: r.doc_id)] == [(1, 0.5, True), (2, 0.0, False)]
+
+
+def test_the_bound_counts_ids_not_rows(spark):
+    """Rows that repeat an id don't swell the training set, and no row count changes how thresholds are set."""
+    docs = table(spark, [row(i, prose(i, 20)) for i in range(30)] + [row(3, prose(900 + k, 20)) for k in range(50)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], LABELS)
+    assert q.train(docs, labels).rows == 30
+    assert q.train(docs, labels, q.QualityParams(max_train_rows=8)).rows == 8
+    with pytest.raises(ValueError):
+        q.quality_filter(docs.drop("text"), labels)
