@@ -41,9 +41,9 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_findings(table(spark, sf_dir, "documents"))
 
 
-def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = tokencounts.TokenCountParams.vocabulary, cache: str | None = None) -> DataFrame:
     # A new cache for each call, so that every distinct text is encoded; a service would name a lasting folder.
-    return tokencounts.token_counts(table(spark, sf_dir, "documents"), scratch(spark, "token-cache"))
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), cache or scratch(spark, "token-cache"), tokencounts.TokenCountParams(vocabulary))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

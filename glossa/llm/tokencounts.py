@@ -27,6 +27,8 @@ class TokenCountParams:
     pattern: str = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
     #: Changes of normalised() need another number, so that older counts aren't used.
     normalisation: int = 1
+    #: Up to so many misses (a digest and an id each) are broadcast, and no text is shuffled; beyond, all texts are.
+    broadcast_misses: int = 1_000_000
 
 
 def normalised(text: str) -> str:
@@ -67,7 +69,8 @@ def token_counts(docs: DataFrame, cache: str, p: TokenCountParams = TokenCountPa
     """(doc_id, tokens) of every row of docs; the cache folder has all their digests afterwards.
 
     A null or empty text has 0 tokens and isn't cached. Repeated rows repeat in the result. A null doc_id is kept. Only doc_id and
-    text are read, so other columns may have any name. Texts of any length are encoded whole.
+    text are read, so other columns may have any name. Texts of any length are encoded whole. Texts that are equal once normalised have
+    one cache entry, whichever of them is encoded. An empty table gives an empty result and leaves the cache as it is.
     """
     spark = docs.sparkSession
     path = f"{cache}/{version(p)}"
@@ -103,9 +106,15 @@ def token_counts(docs: DataFrame, cache: str, p: TokenCountParams = TokenCountPa
     if known is not None:
         missing = missing.join(known, "digest", "left_anti")
     lean, lean_path = written(missing.withColumnRenamed("digest", "key"), "missing")
-    if not lean.isEmpty():
-        texts = d.where("text != ''").mapInArrow(with_text, f"doc_id {kind}, digest binary, text string")
-        chosen = texts.join(lean.hint("shuffle_hash"), (texts.digest == lean.key) & texts.doc_id.eqNullSafe(lean.owner), "left_semi")
+    if (misses := lean.count()) > 0:
+        few = misses <= p.broadcast_misses
+        near = F.broadcast if few else lambda x: x.hint("shuffle_hash")
+        texts = d.where("text != ''")
+        if few:  # rows that own no miss are dropped before their text is digested again
+            owners = lean.select("owner").distinct()
+            texts = texts.join(F.broadcast(owners), texts.doc_id.eqNullSafe(owners.owner), "left_semi")
+        texts = texts.mapInArrow(with_text, f"doc_id {kind}, digest binary, text string")
+        chosen = texts.join(near(lean), (texts.digest == lean.key) & texts.doc_id.eqNullSafe(lean.owner), "left_semi")
         chosen.select("digest", "text").mapInArrow(encode, "digest binary, tokens long").write.mode("append").parquet(path)
     dropped(spark, lean_path)
     known = _cached(docs, path)

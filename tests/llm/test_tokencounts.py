@@ -40,6 +40,13 @@ def test_known_digests_are_not_encoded_again(spark, enc, monkeypatch):
     assert spark.read.parquet(path).count() == 4
 
 
+def test_few_and_many_misses_agree(spark):
+    rows = odd_rows() + [row(None, "null id"), row(None, "another null id"), row(40, "a text"), row(40, "another text")]
+    docs = table(spark, rows)
+    few, many = (rows_of(tc.token_counts(docs, scratch(spark, "cache"), tc.TokenCountParams(broadcast_misses=n))) for n in (10**6, 0))
+    assert few == many and len(few) == len(rows)
+
+
 def test_another_version_has_its_own_cache(spark, enc):
     docs = table(spark, [row(1, "a-b c")])
     cache = scratch(spark, "cache")
