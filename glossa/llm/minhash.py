@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -138,15 +138,23 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams()) -> Data
     Documents with equal signatures are collapsed first. In each bucket of a band every document is compared with the bucket's
     smallest id; in buckets whose documents that doesn't tie together, all pairs not yet tied are compared, block by block, so that
     neither a bucket's size nor its number of candidates is capped. Groups are the connected components of all pairs that share a
-    band and pass the threshold.
+    band and pass the threshold (estimates as large as the threshold pass).
 
-    Rows with a null doc_id or without words (null, empty, signs only) are in no group; rows that repeat a doc_id are one document,
-    of which the row with the smallest signature hash counts; an empty table gives an empty result; other columns are not read.
+    Rows with a null doc_id or without words (null, empty, signs only) are in no group; texts of any length are hashed whole; rows that
+    repeat a doc_id are one document, of which the row with the smallest signature hash counts; an empty table gives an empty
+    result; other columns are not read.
     """
+    return _groups(docs, p).select("doc_id", "group_id")
+
+
+def _groups(docs: DataFrame, p: MinHashParams) -> DataFrame:
+    """near_duplicates, and whether rows of the doc_id differ in their texts."""
     spark = docs.sparkSession
     signed, signed_path = written(_signed(docs, p), "signatures")
-    one = signed.groupBy("doc_id").agg(F.min(F.struct("h", "g")).alias("k")).select("doc_id", "k.*")
-    exact, exact_path = written(one.withColumn("rep", F.min("doc_id").over(Window.partitionBy("h", "g"))).select("doc_id", "rep", "h", "g"), "exact")
+    one = signed.groupBy("doc_id").agg(F.min(F.struct("h", "g")).alias("k"), F.max(F.struct("h", "g")).alias("l")).select("doc_id", "k.*", (F.col("k") != F.col("l")).alias("several"))
+    # The smallest id of equal signatures is an aggregate, combined before the shuffle, that is joined back: no task holds all copies.
+    reps = one.groupBy("h", "g").agg(F.min("doc_id").alias("rep"))
+    exact, exact_path = written(one.join(reps, ["h", "g"]).select("doc_id", "rep", "h", "g", "several"), "exact")
     # Any row with the signature serves its representative.
     leaders = exact.where("doc_id = rep").select(F.col("rep"), F.col("h").alias("h2"), F.col("g").alias("g2"))
     sigs, sigs_path = written(signed.join(leaders, (signed.doc_id == leaders.rep) & (signed.h == leaders.h2) & (signed.g == leaders.g2)).dropDuplicates(["doc_id"]).select("doc_id", "sig"), "leaders")
@@ -157,11 +165,9 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams()) -> Data
                 k = band_keys(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(b.num_rows, -1), p.rows_per_band)
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(b.column("doc_id").to_numpy(), k.shape[1]))], ["key", "doc"])
 
-    def led(rows: DataFrame) -> DataFrame:
-        """Each bucket's documents with its first, which a running window finds without holding the bucket."""
-        return rows.withColumn("rep", F.first("doc").over(Window.partitionBy("key").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("doc != rep")
-
-    bucket, bucket_path = written(led(sigs.mapInArrow(keys, "key long, doc long")), "bucket")
+    keyed, keyed_path = written(sigs.mapInArrow(keys, "key long, doc long"), "bands")
+    leads = keyed.groupBy("key").agg(F.min("doc").alias("rep"), F.count("*").alias("m")).where("m > 1").select("key", "rep")
+    bucket, bucket_path = written(keyed.join(leads, "key").where("doc != rep").select("key", "doc", "rep"), "bucket")
     checked, checked_path = written(_verified(bucket.select("doc", "rep").distinct(), sigs), "checked")
     led_edges = checked.where(F.col("share") >= p.threshold).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     tied, tied_path = written(components(led_edges), "tied")
@@ -202,13 +208,17 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams()) -> Data
     more = member.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "block", "doc", "root", "sig").mapInArrow(compared, "a long, b long")
     alike = tied.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more.distinct())
     roots, roots_path = written(components(alike), "roots")
-    groups = exact.join(roots, exact.rep == roots.id, "left").select("doc_id", F.coalesce("root", "rep").alias("group_id"))
-    dropped(spark, signed_path, sigs_path, bucket_path, checked_path, tied_path, known_path)
+    groups = exact.join(roots, exact.rep == roots.id, "left").select("doc_id", F.coalesce("root", "rep").alias("group_id"), "several")
+    dropped(spark, signed_path, sigs_path, keyed_path, bucket_path, checked_path, tied_path, known_path)
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
-    return groups.join(sizes, "group_id", "left_semi").select("doc_id", "group_id")
+    return groups.join(sizes, "group_id", "left_semi").select("doc_id", "group_id", "several")
 
 
 def deduplicated(docs: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
-    """docs without the near copies: of each group the document with the smallest doc_id stays; ungrouped rows all stay."""
-    gone, _ = written(near_duplicates(docs, p).where("doc_id != group_id").select("doc_id"), "copies")
+    """docs without the near copies: of each group the document with the smallest doc_id stays, with all its columns; ungrouped rows all stay.
+
+    Rows with a null doc_id and texts without words stay. An id that different texts share stays with all of them, since the id can't
+    say which of them goes; equal rows of an id stay or go together. An empty table gives an empty one.
+    """
+    gone, _ = written(_groups(docs, p).where("doc_id != group_id and not several").select("doc_id"), "copies")
     return without(docs, gone)

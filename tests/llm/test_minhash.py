@@ -143,6 +143,18 @@ def test_odd_rows(spark):
     assert rows_of(m.deduplicated(spark.createDataFrame([], SCHEMA))) == []
 
 
+def test_an_id_of_different_texts_loses_none(spark):
+    base, other = prose(1, 80), prose(2, 80)
+    docs = table(spark, [row(1, base), row(5, base), row(5, other), row(6, other), row(7, base)])
+    left = sorted((r.doc_id, r.text == base) for r in m.deduplicated(docs).collect())
+    assert [x for x in left if x[0] == 5] == [(5, False), (5, True)] and (7, True) not in left and (1, True) in left
+
+
+def test_components_of_hubs(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(500, i) for i in range(399, 450)]
+    assert dict(components(spark.createDataFrame(edges, "a long, b long")).collect()) == {i: 0 for i in [*range(450), 500]}
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000), (7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
