@@ -7,6 +7,7 @@ in the file and in the template, into spans whose covered share of the template
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -97,6 +98,23 @@ _MORE: dict[str, tuple[str, ...]] = {
     ),
     "Proprietary": ("All rights reserved.",),
 }
+_CC = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+for _kind in ("BY-ND", "BY-NC-ND", "BY-NC-SA"):
+    _MORE[f"CC-{_kind}-4.0"] = (f"Licensed under CC {_kind} 4.0.", f"This work is licensed under a Creative Commons {'-'.join(_CC[x] for x in _kind.split('-'))} 4.0 International License")
+for _kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-ND", "BY-NC-SA"):
+    _MORE[f"CC-{_kind}-4.0"] = (*_MORE.get(f"CC-{_kind}-4.0", ()), f"SPDX-License-Identifier: CC-{_kind}-4.0")
+for _kind, _versions in (("", ("1", "2", "3")), ("Lesser ", ("2.1", "3")), ("Library ", ("2",)), ("Affero ", ("3",))):
+    for _v in _versions:
+        _short = {"": "GPL", "Lesser ": "LGPL", "Library ": "LGPL", "Affero ": "AGPL"}[_kind] + "-" + (_v if "." in _v else _v + ".0")
+        _MORE[_short] = (*_MORE.get(_short, ()), f"Licensed under the GNU {_kind}General Public License, version {_v}", f"Licensed under the GNU {_kind}General Public License v{_v if '.' in _v else _v + '.0'}", f"This work is licensed under the GNU {_kind}General Public License, version {_v}.")
+_MORE["Apache-1.1"] = ("Licensed under the Apache License, Version 1.1", "The Apache Software License, Version 1.1", "SPDX-License-Identifier: Apache-1.1")
+_MORE["BSL-1.0"] = (
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Licensed under the Boost Software License 1.0",
+    "SPDX-License-Identifier: BSL-1.0",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") "
+    "to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+)
 for _name, _texts in _MORE.items():
     TEMPLATES[_name] = TEMPLATES.get(_name, ()) + _texts
 for _file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
@@ -109,8 +127,21 @@ class LicenseParams:
     min_run: int = 3
     #: Most file tokens, and most template tokens, between two runs of a chain.
     gap: int = 8
-    #: Least share of a template's tokens that a chain covers.
+    #: Least share of a template's tokens that a chain covers; tokens by which the span is longer than the template count as not covered.
     coverage: float = 0.8
+    #: In templates of up to so many tokens no name or version may be missing, and in their spans none may be added.
+    notice: int = 80
+
+
+#: Names and versions: words by which licences of one family differ. Numbers are such words too.
+NAMES = frozenset(
+    "affero lesser library gpl lgpl agpl mit apache bsd isc mpl mozilla boost bsl zlib epl eclipse cc0 unlicense cc by nc nd sa attribution noncommercial noderivatives noderivs sharealike".split()
+)
+
+
+def distinguishing(word: str) -> bool:
+    w = word.lower()
+    return w in NAMES or w.isdigit() or (w[:1] == "v" and w[1:].isdigit())
 
 
 class Automaton:
@@ -185,10 +216,16 @@ class Scanner:
         sequences = [[int(h) for h in tv.tokenize(pa.array([text], pa.large_string())).hashes] for _, text in pairs]
         full = [(n, s) for (n, _), s in zip(pairs, sequences, strict=True) if s]
         self.names, sequences = [n for n, _ in full], [s for _, s in full]
-        self.vocabulary = np.unique(np.array([w for s in sequences for w in s], np.uint64))
+        marked = [w for w in sorted(NAMES | {x.lower() for _, text in pairs for x in re.findall(r"\w+", text)} | {f"{v}{i}" for v in ("", "v") for i in range(10)}) if distinguishing(w)]
+        marks = np.array([tv.hash_word(w) for w in marked], np.uint64)
+        self.vocabulary = np.unique(np.concatenate((np.array([w for s in sequences for w in s], np.uint64), marks if sequences else marks[:0])))
+        #: Numbers of the words that tell licences apart, and for each notice where it has them.
+        self.digits = set(np.flatnonzero(np.isin(self.vocabulary, np.array([tv.hash_word(w) for w in marked if w[-1].isdigit()], np.uint64))).tolist())
+        self.marks = set(np.flatnonzero(np.isin(self.vocabulary, marks)).tolist())
         number = {int(h): i for i, h in enumerate(self.vocabulary)}
         self.sizes = [len(s) for s in sequences]
         self.automaton = Automaton([[number[w] for w in s] for s in sequences])
+        self.named = [{i for i, w in enumerate(s) if number[w] in self.marks} if len(s) <= p.notice else None for s in sequences]
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[self.vocabulary >> np.uint64(48)] = True
         self.least = min([min(p.min_run, n) for n in self.sizes], default=1)
@@ -226,8 +263,9 @@ class Scanner:
                 if before[k] >= 0:
                     ended[before[k]] = False
             for k, (fe, _, _) in enumerate(runs):
-                if ended[k] and best[k][0] >= self.p.coverage * self.sizes[s]:
-                    out.append((self.names[s], best[k][1], fe, best[k][0] / self.sizes[s], best[k][0]))
+                share = best[k][0] / max(self.sizes[s], fe - best[k][1])
+                if ended[k] and share >= self.p.coverage and self._same_names(s, tokens, runs, before, k):
+                    out.append((self.names[s], best[k][1], fe, share, best[k][0]))
         # Of overlapping spans the one that covers more template tokens stays, then the larger coverage, then the name.
         out.sort(key=lambda x: (-x[4], -x[3], x[0], x[1]))
         kept: list[tuple] = []
@@ -236,6 +274,23 @@ class Scanner:
                 kept.append(x)
         return sorted((x[:4] for x in kept), key=lambda x: (x[1], x[2], x[0]))
 
+    def _same_names(self, s: int, tokens: list[int], runs: list[tuple[int, int, int]], before: list[int], k: int) -> bool:
+        """Whether a chain covers all names and versions of a notice and its span has no others, nor goes on with a number after a number."""
+        named = self.named[s]
+        if named is None:
+            return True
+        end, missing, added = runs[k][0], set(named), set()
+        while k >= 0:
+            fe, te, n = runs[k]
+            missing.difference_update(range(te - n, te))
+            if before[k] >= 0:
+                added.update(tokens[runs[before[k]][0] : fe - n])
+            k = before[k]
+        if missing or added & self.marks:
+            return False
+        after = tokens[end] if end < len(tokens) else -1
+        return not (after in self.digits and tokens[end - 1] in self.digits)
+
     def scan(self, column: pa.Array) -> tuple[list[int], list[str], list[int], list[int], list[float]]:
         rows, names, starts, ends, shares = [], [], [], [], []
         for i, j in tv.chunks(column):
@@ -274,8 +329,9 @@ def license_spans(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
     """(doc_id, license, start, end, coverage): spans of words (0-based, end exclusive) that cover a template of a licence.
 
     Words are compared in lower case and without punctuation. Spans of one document don't overlap: the one that covers more template
-    words stays. One narrow pass over whole texts. Null or empty texts have no spans, repeated rows repeat, a null doc_id is
-    kept, other columns are not read; without templates the result is empty.
+    words stays, of equal ones the larger coverage, then the first name. One narrow pass over whole texts of any length. Null or empty texts
+    have no spans, repeated rows repeat, a null doc_id is kept, other columns are not read; without templates, or for an empty table,
+    the result is empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES if templates is None else templates, p))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -91,6 +91,71 @@ def test_planted_kinds_headers_and_whole_files():
         assert names(" ".join(w for i, w in enumerate(words) if i % 97 != 50)) == [name]
 
 
+NEAR = {
+    "Licensed under the GNU Affero General Public License, version 3": "AGPL-3.0",
+    "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+    "SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0",
+    "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License": "CC-BY-ND-4.0",
+    "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0",
+    "Licensed under CC BY-NC-ND 4.0": "CC-BY-NC-ND-4.0",
+    "Licensed under the GNU General Public License, version 1": "GPL-1.0",
+    "Licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1",
+    "Licensed under the GNU Lesser General Public License, version 3": "LGPL-3.0",
+    "Licensed under the BSD 2-Clause License": "BSD-2-Clause",
+    "Licensed under the BSD 3-Clause License": "BSD-3-Clause",
+    "Licensed under the Apache License, Version 1.1": "Apache-1.1",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    # Versions and kinds without a template are nothing rather than their neighbour.
+    "Licensed under the Apache License, Version 7.0": None,
+    "Licensed under the BSD 4-Clause License": None,
+    "Licensed under the GNU General Public License, version 2.9": None,
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 3.0 International License": None,
+}
+
+
+def test_near_licences_are_told_apart():
+    scanner = li.Scanner(li.TEMPLATES, li.LicenseParams())
+    for text, name in NEAR.items():
+        got = scanner.scan(pa.array([prose(1, 30) + "\n" + text + "\n" + prose(2, 30)], pa.large_string()))[1]
+        assert got == ([name] if name else []), text
+
+
+def test_chains_with_gaps_against_brute_force():
+    """The best share over all chains of common runs of one template, with at most ``gap`` words between them on either side."""
+    r = random.Random(8)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    for _ in range(150):
+        gap = r.randint(1, 3)
+        p = li.LicenseParams(gap=gap, coverage=0.5, min_run=2, notice=0)
+        template = r.sample(words, 7)
+        text = []
+        for w in template:
+            if r.random() < 0.85:
+                text.append(w)
+            text += ["other"] * r.choice([0, 0, 0, 1, 2, 4])
+        text = ["other"] * 3 + text + ["other"] * 3
+        place = {w: i for i, w in enumerate(template)}
+        runs = []  # maximal common runs: the template's words are distinct
+        i = 0
+        while i < len(text):
+            j = i
+            while j < len(text) and text[j] in place and place[text[j]] == place.get(text[i], -9) + j - i:
+                j += 1
+            if j - i >= 2:
+                runs.append((i, j, place[text[i]]))
+            i = max(j, i + 1)
+        best = 0.0
+        for mask in range(1, 1 << len(runs)):
+            chain = [x for k, x in enumerate(runs) if mask >> k & 1]
+            if all(b[0] - a[1] <= gap and b[2] - (a[2] + a[1] - a[0]) <= gap and b[2] >= a[2] + a[1] - a[0] for a, b in zip(chain[:-1], chain[1:], strict=True)):
+                best = max(best, sum(x[1] - x[0] for x in chain) / max(7, chain[-1][1] - chain[0][0]))
+        got = li.Scanner({"X": (" ".join(template),)}, p).scan(pa.array([" ".join(text)], pa.large_string()))
+        assert max(got[4], default=0.0) <= best + 1e-6
+        if best >= 0.75:
+            assert got[4], (template, text)
+
+
 def test_edited_and_interrupted_texts():
     scanner = li.Scanner(li.TEMPLATES, li.LicenseParams())
     mit = li.TEMPLATES["MIT"][3].split()
