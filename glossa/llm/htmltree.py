@@ -2,7 +2,8 @@
 
 The nodes of a page's element tree are binary variables (content or not); each has a unary potential from its features and each
 parent-child pair a 2 x 2 potential. Sum-product messages, upward and then downward, give exact marginals. Both kinds of potentials are
-trained by gradient ascent on the likelihood of labelled pages, the unlabelled nodes being summed out.
+trained by gradient ascent on the likelihood of labelled pages, the unlabelled nodes being summed out. The pieces of text between tags
+are leaves of the tree, so that their order is kept.
 """
 
 from __future__ import annotations
@@ -49,27 +50,58 @@ WORDS = 64
 WIDTH = 2 * (len(TAGS) + 1) + WORDS + 7
 
 
+#: Elements that don't break the line.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
+
+
 @dataclass
 class Tree:
+    """Elements and, as leaves, the pieces of text between tags, in document order."""
+
     tag: list[str]
     parent: list[int]
     depth: list[int]
     text: list[str]
     names: list[str]
+    #: Of pieces of text: whether white space goes before, and the line, which block elements and br end.
+    lead: list[bool]
+    line: list[int]
 
 
 def parse(source: str) -> Tree:
-    """The element tree. Node 0 is the root; text belongs to the innermost open element. Tags that don't nest are repaired as they come."""
-    t = Tree(["#root"], [-1], [0], [""], [""])
-    stack = [0]
-    parts: dict[int, list[str]] = {}
-    at = 0
+    """The element tree. Node 0 is the root; text is a leaf of the innermost open element. Tags that don't nest are repaired as they come."""
+    t = Tree(["#root"], [-1], [0], [""], [""], [False], [0])
+    stack, open_ = [0], {}
+    at, line, space = 0, 0, False
+
+    def add(tag: str, text: str, names: str, lead: bool) -> int:
+        t.tag.append(tag)
+        t.parent.append(stack[-1])
+        t.depth.append(len(stack))
+        t.text.append(text)
+        t.names.append(names)
+        t.lead.append(lead)
+        t.line.append(line)
+        return len(t.tag) - 1
+
+    def pop() -> None:
+        nonlocal line, space
+        tag = t.tag[stack.pop()]
+        open_[tag] -= 1
+        if tag not in INLINE:
+            line, space = line + 1, False
 
     def words(a: int, b: int) -> None:
+        nonlocal space
         if b > a:
-            s = source[a:b]
-            if not s.isspace():
-                parts.setdefault(stack[-1], []).append(s)
+            s = html.unescape(source[a:b])
+            x = _SPACE.sub(" ", s)
+            y = x.strip()
+            if y:
+                add("#text", y, "", space or x[0] == " ")
+                space = x[-1] == " "
+            else:
+                space = space or bool(x)
 
     for m in _TOKEN.finditer(source):
         words(at, m.start())
@@ -79,32 +111,56 @@ def parse(source: str) -> Tree:
             continue
         tag = tag.lower()
         if m["close"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if t.tag[stack[k]] == tag:
-                    del stack[k:]
+            # An end tag without an open element is passed over; otherwise each element looked at is closed, so time is linear.
+            while open_.get(tag, 0):
+                last = t.tag[stack[-1]]
+                pop()
+                if last == tag:
                     break
             continue
         attrs = m["attrs"] or ""
         if tag in VOID:
-            parts.setdefault(stack[-1], []).append("\n" if tag in ("br", "hr") else " ")
+            if tag in ("br", "hr"):
+                line, space = line + 1, False
+            elif tag != "wbr":
+                space = True
             continue
         ends = CLOSES.get(tag)
         if ends and len(stack) > 1 and t.tag[stack[-1]] in ends:
-            stack.pop()
-        node = len(t.tag)
-        t.tag.append(tag)
-        t.parent.append(stack[-1])
-        t.depth.append(len(stack))
-        t.text.append("")
-        t.names.append(" ".join(x for g in _NAMES.findall(attrs) for x in g if x).lower() if attrs else "")
+            pop()
+        if tag not in INLINE:
+            line, space = line + 1, False
+        node = add(tag, "", " ".join(x for g in _NAMES.findall(attrs) for x in g if x).lower() if attrs else "", False)
         if not attrs.endswith("/"):
             stack.append(node)
+            open_[tag] = open_.get(tag, 0) + 1
+        elif tag not in INLINE:
+            line, space = line + 1, False
     words(at, len(source))
-    for k, p in parts.items():
-        t.text[k] = _SPACE.sub(" ", html.unescape("".join(p))).strip()
     return t
 
 
+def lines(t: Tree, nodes: list[int]) -> list[tuple[list[int], str]]:
+    """The given pieces of text (ascending) by line, and each line's text."""
+    out: list[tuple[list[int], str]] = []
+    parts: list[str] = []
+    last = -1
+    for k in nodes:
+        if not out or t.line[k] != t.line[last]:
+            if out:
+                out[-1] = (out[-1][0], "".join(parts))
+            out.append(([], ""))
+            parts = []
+        elif t.lead[k] or any(t.text[i] for i in range(last + 1, k)):
+            parts.append(" ")
+        out[-1][0].append(k)
+        parts.append(t.text[k])
+        last = k
+    if out:
+        out[-1] = (out[-1][0], "".join(parts))
+    return out
+
+
 @dataclass
 class Forest:
     """Trees side by side: features of the nodes, their parents (-1 at roots), depths and pages."""
@@ -130,7 +186,7 @@ def forest(trees: list[Tree]) -> Forest:
         depth[a:b], page[a:b] = t.depth, k
         tag[a:b] = [_TAG.get(x, len(TAGS)) for x in t.tag]
         own[a:b] = [len(x) for x in t.text]
-        link[a:b] = [x == "a" for x in t.tag]
+        link[a:b] = [p >= 0 and t.tag[p] == "a" for p in t.parent]
         sign[a:b] = [x.count(".") + x.count(",") + x.count("!") + x.count("?") if x else 0 for x in t.text]
         for i, names in enumerate(t.names):
             if names:
@@ -207,9 +263,12 @@ class HtmlModel:
 
 
 def labels_of(t: Tree, content: str) -> np.ndarray:
-    """1, 0 or -1 (not known) for every node: a node whose own text is a line of the content is content; any other with text isn't."""
-    lines = {_SPACE.sub(" ", x).strip() for x in content.split("\n")} - {""}
-    return np.array([(1 if x in lines else 0) if x else -1 for x in t.text])
+    """1, 0 or -1 (not known) for every node: the pieces of a line of text that is a line of the content are content, those of other lines aren't."""
+    known = {_SPACE.sub(" ", x).strip() for x in content.split("\n")} - {""}
+    y = np.full(len(t.text), -1)
+    for nodes, text in lines(t, [i for i, x in enumerate(t.text) if x]):
+        y[nodes] = text in known
+    return y
 
 
 def fit(trees: list[Tree], contents: list[str], p: HtmlParams) -> HtmlModel:
@@ -257,7 +316,7 @@ def content_of(trees: list[Tree], model: HtmlModel, p: HtmlParams) -> tuple[list
         a += len(t.tag)
         have = [i for i, x in enumerate(t.text) if x]
         take = [i for i in have if q[i] >= p.threshold - 1e-9]
-        out.append("\n".join(t.text[i] for i in take))
+        out.append("\n".join(x for _, x in lines(t, take)))
         texts.append(len(have))
         chosen.append(len(take))
     return out, np.array(texts, np.int64), np.array(chosen, np.int64)
@@ -266,9 +325,10 @@ def content_of(trees: list[Tree], model: HtmlModel, p: HtmlParams) -> tuple[list
 def extracted(pages: DataFrame, labelled: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
     """(page_id, text, text_nodes, content_nodes) of every row of pages (page_id, html).
 
-    text has the content nodes' own texts in document order, one a line. A null or empty html gives an empty text and no nodes;
-    a page of any size is parsed whole; repeated rows and null ids are kept; other columns are not read. Without labelled
-    pages every marginal is 1/2 and all text is taken.
+    text has the content's pieces of text in document order; inline elements don't break a line, blocks and br do. A null or empty html
+    gives an empty text and no nodes; a page of any size or depth is parsed whole, in linear time; repeated rows and null ids are
+    kept; a marginal equal to the threshold is content; an empty table gives an empty result; other columns are not read. Without
+    labelled pages every marginal is 1/2 and all text is taken.
     """
     model = train(pages, labelled, p)
     shared = pages.sparkSession.sparkContext.broadcast(model)
