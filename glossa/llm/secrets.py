@@ -2,7 +2,7 @@
 
 A candidate is a run of at least ``min_run`` key characters with a digit, or of at least ``min_assigned`` of them after ``=`` or ``:``.
 So is every value of at least ``min_assigned`` bytes after ``=`` or ``:`` that holds other characters: all that stands between quotes, or
-up to white space. Findings that overlap are one.
+up to white space. Findings that overlap are one. Shorter runs, and unassigned ones without a digit, are no candidates.
 The network embeds characters, convolves them, takes the maxima of three regions (before, candidate, after) and
 a hidden layer. It is trained on labelled findings, calibrated (Platt) on one part of them, and its threshold is the largest that
 keeps the required recall on another.
@@ -295,10 +295,24 @@ def encode(rows: list[tuple[str, str, str, int]], p: SecretParams) -> np.ndarray
     return windows(data, offsets, np.arange(len(parts)), s, e, p)
 
 
+def labelled_rows(docs: DataFrame, labelled: DataFrame, p: SecretParams = SecretParams()) -> tuple[tuple[str, str, str, int], ...]:
+    """At most ``p.findings`` findings with their surroundings from labelled (doc_id, start, end, secret 0/1; characters), those with the smallest hash.
+
+    Rows with a null in any of these or with an empty span don't count; where rows share a doc_id each is a finding; very long texts
+    give only the surroundings that the network sees.
+    """
+    at = labelled.select(F.col("doc_id").alias("_id"), F.col("start").cast("int").alias("a"), F.col("end").cast("int").alias("z"), F.col("secret").cast("int").alias("y")).where("_id is not null and y is not null and a >= 0 and z > a")
+    at = at.distinct().orderBy(F.xxhash64("_id", "a", "z"), "_id", "a", "z", "y").limit(p.findings)
+    d = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    first = F.greatest(F.col("a") - p.before, F.lit(0))
+    cut = d.join(F.broadcast(at), "_id").select(F.col("text").substr(first + 1, F.col("a") - first).alias("b"), F.col("text").substr(F.col("a") + 1, F.col("z") - F.col("a")).alias("c"), F.col("text").substr(F.col("z") + 1, F.lit(p.after)).alias("d"), "y")
+    return tuple(sorted((r["b"], r["c"], r["d"], r["y"]) for r in cut.where("c != ''").distinct().collect()))
+
+
 @lru_cache(maxsize=4)
-def train(p: SecretParams = SecretParams()) -> Network:
-    """Fit on 4 of 6 parts of the labelled findings, calibrate on the fifth and set the threshold on the sixth."""
-    rows = labelled_findings(p.findings, p.seed)
+def train(p: SecretParams = SecretParams(), labelled: tuple[tuple[str, str, str, int], ...] = ()) -> Network:
+    """Fit on 4 of 6 parts of the findings, calibrate on the fifth and set the threshold on the sixth: labelled ones and as many generated ones as are wanted besides."""
+    rows = [*labelled, *labelled_findings(max(p.findings // 4, p.findings - len(labelled)), p.seed)]
     x, y = encode(rows, p), np.array([r[3] for r in rows], np.float32)
     g = np.random.default_rng(p.seed)
     order = g.permutation(len(rows))
@@ -332,6 +346,21 @@ def _code_points(data: np.ndarray, offsets: np.ndarray, text: np.ndarray, at: np
     return heads[at] - heads[offsets[text]]
 
 
+def likelihood(net: Network, data: np.ndarray, offsets: np.ndarray, text: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The probability of every candidate, of which the network sees all characters: one longer than its window is judged by the
+    window of its ends and by windows slid over the whole of it, of which the largest probability counts."""
+    p = net.p
+    size = p.head + p.tail
+    more = np.maximum(0, -(-(e - s - size) // p.head) + 1) * (e - s > size)
+    k = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+    first = np.minimum(np.repeat(s, more) + k * p.head, np.repeat(e, more) - size)
+    of = np.repeat(np.arange(len(s)), more)
+    prob = net.probability(windows(data, offsets, np.concatenate((text, text[of])), np.concatenate((s, first)), np.concatenate((e, first + size)), p))
+    best = prob[: len(s)].copy()
+    np.maximum.at(best, of, prob[len(s) :])
+    return best
+
+
 def scan(column: pa.Array, net: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Text, first character, end, probability and bytes of the findings in a large_string array."""
     found: list[tuple] = []
@@ -339,7 +368,7 @@ def scan(column: pa.Array, net: Network) -> tuple[np.ndarray, np.ndarray, np.nda
     for a, b in tv.chunks(column, 1 << 20):
         data, offsets = tv.buffers(column.slice(a, b - a))
         text, s, e = (np.concatenate(x) for x in zip(candidates(data, offsets, net.p), assigned(data, offsets, net.p), strict=True))
-        prob = net.probability(windows(data, offsets, text, s, e, net.p))
+        prob = likelihood(net, data, offsets, text, s, e)
         hit = np.flatnonzero(prob >= net.threshold)
         if len(hit):
             hit = hit[np.lexsort((e[hit], s[hit]))]
@@ -355,13 +384,15 @@ def scan(column: pa.Array, net: Network) -> tuple[np.ndarray, np.ndarray, np.nda
     return *(np.concatenate(x) for x in zip(*found, strict=True)), values
 
 
-def secret_findings(docs: DataFrame, p: SecretParams = SecretParams()) -> DataFrame:
+def secret_findings(docs: DataFrame, p: SecretParams = SecretParams(), labelled: DataFrame | None = None) -> DataFrame:
     """(doc_id, start, end, probability, digest): every candidate that the network takes for a secret, in characters of the text.
 
-    The value itself isn't returned, only its SHA-256. One narrow pass. A null or empty text has no findings; a text of any length
-    is scanned whole; repeated rows give repeated findings; other columns are not read.
+    The value itself isn't returned, only its SHA-256. One narrow pass. The network is trained on labelled (see ``labelled_rows``), if given,
+    and generated findings. A null or empty text has no findings; a text of any length is scanned whole, as is a candidate;
+    findings that overlap are one, from the first's start to the last's end; repeated rows give repeated findings; an empty
+    table gives an empty result; other columns are not read.
     """
-    net = train(p)
+    net = train(p, labelled_rows(docs, labelled, p) if labelled is not None else ())
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,14 +408,18 @@ MASK = "[SECRET]"
 
 
 def redacted(docs: DataFrame, p: SecretParams = SecretParams()) -> DataFrame:
-    """docs with every finding in text replaced by [SECRET], and n_chars (if there) the new length; all rows stay, as do all other columns."""
+    """docs with every finding in text replaced by [SECRET], and n_chars (if there) the new length; all rows stay, as do all other columns.
+
+    Null and empty texts stay as they are; rows are judged one by one, so repeated rows stay equal; ids may be null; an empty table gives an
+    empty one. docs without a column text is an error, since nothing would be masked.
+    """
     net = train(p)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     lower = [n.lower() for n in names]
     if "text" not in lower:
-        return docs
+        raise ValueError("docs has no column text")
     at, size = lower.index("text"), lower.index("n_chars") if "n_chars" in lower else None
     schema = plain.schema
 
