@@ -6,7 +6,7 @@ means, codebooks) are a fixed number of values, whatever the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.functions.arrow import lists, map_vectors, matrix
+from glossa.functions.arrow import blobs, lists, map_vectors, matrix
 
 CLIP = 0.998
 FLOOR = 1e-8
@@ -87,27 +87,38 @@ def fit_blocks(df: DataFrame, id_col: str, vec_col: str, levels: int, block: int
     return BlockModel(block, levels, clip, *_largest(df, id_col, vec_col, block, clip, mean), mean)
 
 
-def _text(codes: np.ndarray) -> pa.Array:
-    return pa.array([",".join(map(str, r)) for r in codes.tolist()], pa.string())
+def stored_meta(low: np.ndarray, span: np.ndarray, m: BlockModel) -> np.ndarray:
+    """Minima and ranges of each row's blocks as 16-bit fractions of the largest of all rows."""
+    return np.concatenate((fixed_point(low / m.top_min, 15), fixed_point(span / m.top_span, 15)), axis=1).astype("<i2")
 
 
-def decode_blocks(codes: np.ndarray, low: np.ndarray, span: np.ndarray, m: BlockModel) -> np.ndarray:
+def decode_blocks(codes: np.ndarray, meta: np.ndarray, m: BlockModel) -> np.ndarray:
     n, d = codes.shape
-    low = np.repeat(quantised_meta(low, m.top_min), m.block, axis=1)[:, :d]
-    span = np.repeat(quantised_meta(span, m.top_span), m.block, axis=1)[:, :d]
+    low, span = np.split(meta.astype(float) / 32768, 2, axis=1)
+    low, span = (np.repeat(x * top, m.block, axis=1)[:, :d] for x, top in ((low, m.top_min), (span, m.top_span)))
     out = codes / m.levels * span + low
     return out if m.mean is None else out + m.mean
 
 
+def to_bytes(x: np.ndarray, m: BlockModel) -> tuple[np.ndarray, np.ndarray]:
+    """Packed codes and block statistics of each row: all that is stored of it."""
+    codes, low, span = encode_blocks(x if m.mean is None else x - m.mean, m.block, m.levels, m.clip)
+    return packed_codes(codes, m.levels), stored_meta(low, span, m).view(np.uint8)
+
+
+def from_bytes(data: np.ndarray, meta: np.ndarray, d: int, m: BlockModel) -> np.ndarray:
+    return decode_blocks(unpacked_codes(data, m.levels, d), np.ascontiguousarray(meta).view("<i2"), m)
+
+
 def apply_blocks(df: DataFrame, id_col: str, vec_col: str, m: BlockModel) -> DataFrame:
-    """(id, codes, decoded array<double>, rmse)."""
+    """(id, data, meta, decoded array<double>, rmse): the packed codes, the blocks' minima and ranges, and what decoding these two alone gives."""
 
     def run(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        codes, low, span = encode_blocks(x if m.mean is None else x - m.mean, m.block, m.levels, m.clip)
-        back = decode_blocks(codes, low, span, m)
-        return pa.RecordBatch.from_arrays([pa.array(ids), _text(codes), lists(back, pa.float64()), pa.array(np.sqrt(((back - x) ** 2).mean(1)))], [id_col, "codes", "decoded", "rmse"])
+        data, meta = to_bytes(x, m)
+        back = from_bytes(data, meta, x.shape[1], m)
+        return pa.RecordBatch.from_arrays([pa.array(ids), blobs(data), blobs(meta), lists(back, pa.float64()), pa.array(np.sqrt(((back - x) ** 2).mean(1)))], [id_col, "data", "meta", "decoded", "rmse"])
 
-    return map_vectors(df, id_col, vec_col, run, f"`{id_col}` long, codes string, decoded array<double>, rmse double")
+    return map_vectors(df, id_col, vec_col, run, f"`{id_col}` long, data binary, meta binary, decoded array<double>, rmse double")
 
 
 # --- block codecs over rows --------------------------------------------------------------------------------------------
@@ -132,7 +143,7 @@ def row_blocks(df: DataFrame, id_col: str, vec_col: str, levels: int, block: int
 
 
 def gsq(df: DataFrame, id_col: str, vec_col: str, bits: int, block: int = 128) -> DataFrame:
-    """(id, codes, decoded): blocks of rows, minimum and range by block and dimension, stored as fractions of their largest."""
+    """(id, data, decoded): packed codes of blocks of rows, minimum and range by block and dimension, stored as fractions of their largest."""
     levels = 2**bits - 1
 
     def tops(ids: np.ndarray, codes: np.ndarray, low: np.ndarray, span: np.ndarray) -> pa.Table:
@@ -143,9 +154,9 @@ def gsq(df: DataFrame, id_col: str, vec_col: str, bits: int, block: int = 128) -
 
     def coded(ids: np.ndarray, codes: np.ndarray, low: np.ndarray, span: np.ndarray) -> pa.Table:
         back = codes / levels * quantised_meta(span, top[1]) + quantised_meta(low, top[0])
-        return pa.table({id_col: pa.array(ids), "codes": _text(codes), "decoded": lists(back, pa.float64())})
+        return pa.table({id_col: pa.array(ids), "data": blobs(packed_codes(codes, levels)), "decoded": lists(back, pa.float64())})
 
-    return row_blocks(df, id_col, vec_col, levels, block, coded, f"`{id_col}` long, codes string, decoded array<double>")
+    return row_blocks(df, id_col, vec_col, levels, block, coded, f"`{id_col}` long, data binary, decoded array<double>")
 
 
 # --- scalar codecs -------------------------------------------------------------------------------------------------------
@@ -220,6 +231,14 @@ def unpack_ternary(data: np.ndarray, d: int) -> np.ndarray:
     return ((data[:, :, None] // np.array([81, 27, 9, 3, 1])) % 3).reshape(len(data), -1)[:, :d].astype(np.int32)
 
 
+def packed_codes(codes: np.ndarray, levels: int) -> np.ndarray:
+    return pack_ternary(codes) if levels == 2 else pack(codes, levels.bit_length())
+
+
+def unpacked_codes(data: np.ndarray, levels: int, d: int) -> np.ndarray:
+    return unpack_ternary(data, d) if levels == 2 else unpack(data, levels.bit_length(), d)
+
+
 # --- trained codecs ------------------------------------------------------------------------------------------------
 
 
@@ -274,27 +293,86 @@ def from_polar(codes: np.ndarray, norm: np.ndarray, k: int) -> np.ndarray:
     return v.reshape(len(codes), -1)
 
 
-def kmeans(x: np.ndarray, k: int, steps: int = 20, seed: int = 42) -> np.ndarray:
-    """Lloyd's algorithm from k seeded rows; an empty cell keeps its centroid."""
-    rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
-    for _ in range(steps):
+def assign(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
+
+
+Vectors = tuple[DataFrame, str, str]
+
+
+def totals(vectors: Vectors, fn: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum of fn(matrix), a flat array of ``size`` numbers, over all vectors: added up in each task, then by place in one aggregation."""
+    df, id_col, vec_col = vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                acc += fn(matrix(b.column(0)))
+        at = np.flatnonzero(acc)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(acc[at])], ["at", "v"])
+
+    some = df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(vec_col)
+    got = some.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[got.column("at").to_numpy()] = got.column("v").to_numpy()
+    return out
+
+
+def seeds(vectors: Vectors, k: int) -> np.ndarray:
+    """The k vectors with the smallest hashes of their ids, to start from."""
+    df, id_col, vec_col = vectors
+    rows = df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, vec_col).orderBy(F.xxhash64(id_col), id_col).limit(k).select(vec_col).toArrow()
+    return matrix(rows.column(0))
+
+
+def cell_sums(parts: list[np.ndarray], books: list[np.ndarray]) -> np.ndarray:
+    """For every part and centroid the sum of the rows nearest to it and their number, flat."""
+    out = []
+    for x, c in zip(parts, books, strict=True):
         a = assign(x, c)
-        n = np.bincount(a, minlength=len(c))
-        for j in range(x.shape[1]):
-            s = np.bincount(a, x[:, j], len(c))
-            c[:, j] = np.where(n > 0, s / np.maximum(n, 1), c[:, j])
-    return c
+        s = np.zeros((len(c), x.shape[1] + 1))
+        np.add.at(s, (a, slice(0, -1)), x)
+        s[:, -1] = np.bincount(a, minlength=len(c))
+        out.append(s.ravel())
+    return np.concatenate(out)
 
 
-def assign(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
+def moved(books: list[np.ndarray], sums: np.ndarray) -> list[np.ndarray]:
+    """Centroids at the means of their cells; an empty cell keeps its centroid."""
+    out, at = [], 0
+    for c in books:
+        s = sums[at : at + c.size + len(c)].reshape(len(c), -1)
+        at += s.size
+        out.append(np.where(s[:, -1:] > 0, s[:, :-1] / np.maximum(s[:, -1:], 1), c))
+    return out
 
 
-def fit_pq(x: np.ndarray, parts: int, bits: int, seed: int = 42) -> list[np.ndarray]:
+def kmeans(vectors: Vectors, k: int, steps: int = 20) -> np.ndarray:
+    """Lloyd's algorithm over all vectors, one pass a step; ends early when nothing moves."""
+    return lloyd(vectors, [seeds(vectors, k)], lambda x: [x], steps)[0]
+
+
+def lloyd(vectors: Vectors, books: list[np.ndarray], split: Callable[[np.ndarray], list[np.ndarray]], steps: int) -> list[np.ndarray]:
+    size = sum(c.size + len(c) for c in books)
+    for _ in range(steps):
+        new = moved(books, totals(vectors, lambda x, books=books: cell_sums(split(x), books), size))
+        still = all(np.abs(a - b).max() < 1e-9 for a, b in zip(new, books, strict=True))
+        books = new
+        if still:
+            break
+    return books
+
+
+def fit_pq(vectors: Vectors, parts: int, bits: int, steps: int = 20, mean: np.ndarray | float = 0.0, r: np.ndarray | None = None, books: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """A codebook for each part of the (rotated) dimensions, fitted on all vectors."""
     if bits > 8:
         raise ValueError("codes are bytes: at most 8 bits")
-    return [kmeans(s, 2**bits, seed=seed + i) for i, s in enumerate(np.split(x, parts, axis=1))]
+
+    def split(x: np.ndarray) -> list[np.ndarray]:
+        return np.split(x - mean if r is None else (x - mean) @ r, parts, axis=1)
+
+    return lloyd(vectors, split(seeds(vectors, 2**bits)) if books is None else books, split, steps)
 
 
 def encode_pq(x: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
@@ -305,88 +383,144 @@ def decode_pq(codes: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([c[codes[:, i]] for i, c in enumerate(books)], axis=1)
 
 
-def procrustes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The rotation R that brings x R nearest to y."""
-    u, _, v = np.linalg.svd(x.T @ y)
+def procrustes(xy: np.ndarray) -> np.ndarray:
+    """The rotation R that brings x R nearest to y, given x'y."""
+    u, _, v = np.linalg.svd(xy)
     return u @ v
 
 
-def fit_opq(x: np.ndarray, parts: int, bits: int, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Mean, rotation and codebooks: product quantiser and Procrustes rotation by turns."""
-    mean = x.mean(0)
-    v, r = x - mean, np.eye(x.shape[1])
-    books: list[np.ndarray] = []
+def fit_opq(vectors: Vectors, parts: int, bits: int, rounds: int = 25, steps: int = 20) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Mean, rotation and codebooks over all vectors: in each round one pass gives both the next centroids and the Procrustes rotation."""
+    mean = column_mean(*vectors)
+    d = len(mean)
+    r = np.eye(d)
+    books = fit_pq(vectors, parts, bits, 3, mean, r)
+    size = sum(c.size + len(c) for c in books)
     for _ in range(rounds):
-        books = fit_pq(v @ r, parts, bits)
-        r = procrustes(v, decode_pq(encode_pq(v @ r, books), books))
-    return mean, r, fit_pq(v @ r, parts, bits)
 
+        def both(x: np.ndarray, r: np.ndarray = r, books: list[np.ndarray] = books) -> np.ndarray:
+            v = x - mean
+            y = v @ r
+            return np.concatenate((cell_sums(np.split(y, parts, axis=1), books), (v.T @ decode_pq(encode_pq(y, books), books)).ravel()))
 
-def fit_svd_lm(x: np.ndarray, k: int, block: int, rounds: int = 2, steps: int = 50, clip: float = CLIP) -> tuple[np.ndarray, np.ndarray]:
-    """Rotation and scalar codebook: Lloyd-Max on block-normalised rotated values and Procrustes rotation by turns."""
-    r, c = np.eye(x.shape[1]), np.zeros(k)
-    for _ in range(rounds):
-        for _ in range(steps):
-            codes, std, c = code_svd_lm(x, r, k, block, None, clip)
-            new = procrustes(x, decode_svd_lm(codes, std, c, np.eye(x.shape[1]), block))
-            moved = np.abs(new - r).max()
-            r = new
-            if moved < 1e-5:
-                break
-    return r, code_svd_lm(x, r, k, block, None, clip)[2]
+        got = totals(vectors, both, size + d * d)
+        books, new = moved(books, got[:size]), procrustes(got[size:].reshape(d, d))
+        still = np.abs(new - r).max() < 1e-6
+        r = new
+        if still:
+            break
+    return mean, r, fit_pq(vectors, parts, bits, steps, mean, r, books)
+
+
+#: The histogram of block-normalised values from which scalar codebooks are fitted.
+EDGE, BINS = 12.0, 1 << 14
+
+
+def histogram(u: np.ndarray) -> np.ndarray:
+    """Mass and sum of values in each of BINS bins between -EDGE and EDGE, flat."""
+    u = u[np.isfinite(u)]
+    at = np.clip(((u + EDGE) * (BINS / (2 * EDGE))).astype(np.int64), 0, BINS - 1)
+    return np.concatenate((np.bincount(at, minlength=BINS), np.bincount(at, u, BINS)))
+
+
+def lloyd_max_of(hist: np.ndarray, k: int, steps: int = 200) -> np.ndarray:
+    """Scalar codebook of k centroids for a histogram; each bin counts as its mean."""
+    mass, total = hist[:BINS], hist[BINS:]
+    some = mass > 0
+    values, weights = total[some] / mass[some], mass[some]
+    run = np.cumsum(weights) / weights.sum()
+    c = values[np.minimum(np.searchsorted(run, (np.arange(k) + 0.5) / k), len(values) - 1)]
+    c = np.sort(c) + np.arange(k) * 1e-9
+    for _ in range(steps):
+        bins = np.digitize(values, (c[1:] + c[:-1]) / 2)
+        m = np.bincount(bins, weights, k)
+        new = np.where(m > 0, np.bincount(bins, weights * values, k) / np.maximum(m, 1e-300), c)
+        done = np.abs(new - c).max() < 1e-6
+        c = new
+        if done:
+            break
+    return np.sort(c)
+
+
+def fit_svd_lm(vectors: Vectors, k: int, block: int, steps: int = 50, clip: float = CLIP, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Rotation and scalar codebook over all vectors: Lloyd-Max on block-normalised rotated values and Procrustes rotation by turns, one pass a turn."""
+    d = len(column_mean(*vectors))
+    r = np.eye(d)
+
+    def values(x: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v, _, _ = block_statistics(x @ r, block, clip)
+        std = np.maximum(np.nanstd(v, axis=2), FLOOR)
+        return (v / std[:, :, None]).reshape(len(x), -1)[:, :d], std
 
+    c = lloyd_max_of(totals(vectors, lambda x: histogram(values(x, np.eye(d))[0]), 2 * BINS), k)
+    for _ in range(steps):
+
+        def both(x: np.ndarray, r: np.ndarray = r, c: np.ndarray = c) -> np.ndarray:
+            u, std = values(x, r)
+            back = decode_svd_lm(nearest(u, c), std, c, np.eye(d), block)
+            return np.concatenate((histogram(u), (x.T @ back).ravel()))
+
+        got = totals(vectors, both, 2 * BINS + d * d)
+        c, new = lloyd_max_of(got[: 2 * BINS], k), procrustes(got[2 * BINS :].reshape(d, d))
+        still = np.abs(new - r).max() < tolerance
+        r = new
+        if still:
+            break
+    return r, lloyd_max_of(totals(vectors, lambda x: histogram(values(x, r)[0]), 2 * BINS), k)
 
-def code_svd_lm(x: np.ndarray, r: np.ndarray, k: int, block: int, c: np.ndarray | None, clip: float = CLIP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def code_svd_lm(x: np.ndarray, r: np.ndarray, block: int, c: np.ndarray, clip: float = CLIP) -> tuple[np.ndarray, np.ndarray]:
     v, _, _ = block_statistics(x @ r, block, clip)
     std = np.maximum(np.nanstd(v, axis=2), FLOOR)
     u = (v / std[:, :, None]).reshape(len(x), -1)[:, : x.shape[1]]
-    if c is None:
-        c = lloyd_max(u.ravel(), k, steps=20)
-    return nearest(u, c), std, c
+    return nearest(u, c), std
 
 
 def decode_svd_lm(codes: np.ndarray, std: np.ndarray, c: np.ndarray, r: np.ndarray, block: int) -> np.ndarray:
     return (c[codes] * np.repeat(std, block, axis=1)[:, : codes.shape[1]]) @ r.T
 
 
-def training_sample(df: DataFrame, id_col: str, vec_col: str, rows: int = 20_000) -> np.ndarray:
-    """The vectors with the smallest hashes of their ids: a seeded sample of bounded size for fitting codebooks."""
-    some = df.where(F.col(vec_col).isNotNull()).select(id_col, vec_col).orderBy(F.xxhash64(id_col), id_col).limit(rows).select(vec_col).toArrow()
-    return matrix(some.column(0))
-
-
-def with_decoded(df: DataFrame, id_col: str, vec_col: str, both: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(id, codes, decoded, rmse) by a function matrix -> (codes, decoded)."""
+def with_decoded(df: DataFrame, id_col: str, vec_col: str, both: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:
+    """(id, data, decoded, rmse) by a function matrix -> (codes of ``bits`` bits, 0 for ternary ones, decoded)."""
 
     def run(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         codes, back = both(x)
-        return pa.RecordBatch.from_arrays([pa.array(ids), _text(codes.reshape(len(x), -1)), lists(back, pa.float64()), pa.array(np.sqrt(((back - x) ** 2).mean(1)))], [id_col, "codes", "decoded", "rmse"])
+        codes = codes.reshape(len(x), -1)
+        data = pack_ternary(codes) if bits == 0 else np.ascontiguousarray(codes).astype(f"<u{bits // 8}").view(np.uint8) if bits in (8, 16, 32) else pack(codes & (2**bits - 1), bits)
+        return pa.RecordBatch.from_arrays([pa.array(ids), blobs(data), lists(back, pa.float64()), pa.array(np.sqrt(((back - x) ** 2).mean(1)))], [id_col, "data", "decoded", "rmse"])
+
+    return map_vectors(df, id_col, vec_col, run, f"`{id_col}` long, data binary, decoded array<double>, rmse double")
 
-    return map_vectors(df, id_col, vec_col, run, f"`{id_col}` long, codes string, decoded array<double>, rmse double")
 
+def code_bits(k: int) -> int:
+    """Bits for k centroids as packed; 0 for three, which are packed by fives."""
+    return 0 if k == 3 else max(1, (k - 1).bit_length())
 
-def pq(df: DataFrame, id_col: str, vec_col: str, parts: int = 16, bits: int = 6, rotated: bool = False, rounds: int = 5) -> DataFrame:
-    x = training_sample(df, id_col, vec_col)
+
+def pq(df: DataFrame, id_col: str, vec_col: str, parts: int = 16, bits: int = 6, rotated: bool = False, rounds: int = 25) -> DataFrame:
+    vectors = df, id_col, vec_col
     if rotated:
-        mean, r, books = fit_opq(x, parts, bits, rounds)
+        mean, r, books = fit_opq(vectors, parts, bits, rounds)
     else:
-        mean, r, books = np.zeros(x.shape[1]), np.eye(x.shape[1]), fit_pq(x, parts, bits)
+        books = fit_pq(vectors, parts, bits)
+        d = sum(c.shape[1] for c in books)
+        mean, r = np.zeros(d), np.eye(d)
 
     def both(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         codes = encode_pq((v - mean) @ r, books)
         return codes, decode_pq(codes, books) @ r.T + mean
 
-    return with_decoded(df, id_col, vec_col, both)
+    return with_decoded(df, id_col, vec_col, both, bits)
 
 
-def svd_lm(df: DataFrame, id_col: str, vec_col: str, centroids: int, block: int = 32) -> DataFrame:
-    r, c = fit_svd_lm(training_sample(df, id_col, vec_col), centroids, block, steps=10)
+def svd_lm(df: DataFrame, id_col: str, vec_col: str, centroids: int, block: int = 32, steps: int = 50) -> DataFrame:
+    r, c = fit_svd_lm((df, id_col, vec_col), centroids, block, steps)
 
     def both(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        codes, std, _ = code_svd_lm(v, r, centroids, block, c)
+        codes, std = code_svd_lm(v, r, block, c)
         return codes, decode_svd_lm(codes, std, c, r, block)
 
-    return with_decoded(df, id_col, vec_col, both)
+    return with_decoded(df, id_col, vec_col, both, code_bits(centroids))
 
 
 def polar_codec(df: DataFrame, id_col: str, vec_col: str, centroids: int, block: int = 32) -> DataFrame:
@@ -394,7 +528,7 @@ def polar_codec(df: DataFrame, id_col: str, vec_col: str, centroids: int, block:
         codes, norm = polar(v, block, centroids)
         return codes, from_polar(codes, norm, centroids)
 
-    return with_decoded(df, id_col, vec_col, both)
+    return with_decoded(df, id_col, vec_col, both, code_bits(centroids))
 
 
 def nf_codec(df: DataFrame, id_col: str, vec_col: str, block: int = 32) -> DataFrame:
@@ -402,7 +536,7 @@ def nf_codec(df: DataFrame, id_col: str, vec_col: str, block: int = 32) -> DataF
         codes, std = q2_nf(v, block)
         return codes, NF_CENTROIDS[codes] * np.repeat(std, block, axis=1)[:, : v.shape[1]]
 
-    return with_decoded(df, id_col, vec_col, both)
+    return with_decoded(df, id_col, vec_col, both, 2)
 
 
 def scalar_codec(df: DataFrame, id_col: str, vec_col: str, name: str) -> DataFrame:
@@ -430,7 +564,7 @@ def scalar_codec(df: DataFrame, id_col: str, vec_col: str, name: str) -> DataFra
             return v.astype(np.float16).view(np.uint16).astype(np.int64), v.astype(np.float16).astype(float)
         return v.astype(np.float32).view(np.uint32).astype(np.int64), v.astype(np.float32).astype(float)
 
-    return with_decoded(df, id_col, vec_col, both)
+    return with_decoded(df, id_col, vec_col, both, {"e0m7": 8, "e0m11": 12, "e0m15": 16, "max8": 8, "max12": 12, "max16": 16, "bf16": 16, "e4m3": 8, "f16": 16, "f32": 32}[name])
 
 
 def row_top_mix(df: DataFrame, id_col: str, vec_col: str, ratio: float = 0.2, bits: int = 4, block: int = 32) -> DataFrame:
@@ -439,13 +573,13 @@ def row_top_mix(df: DataFrame, id_col: str, vec_col: str, ratio: float = 0.2, bi
 
     def both(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         codes, low, span = encode_blocks(v, block, m.levels, m.clip)
-        back = decode_blocks(codes, low, span, m)
+        back = decode_blocks(codes, stored_meta(low, span, m), m)
         k = max(1, int(v.shape[1] * ratio))
         top = np.argsort(-np.abs(v), axis=1, kind="stable")[:, :k]
         np.put_along_axis(back, top, np.take_along_axis(v, top, 1).astype(np.float16).astype(float), 1)
         return codes, back
 
-    return with_decoded(df, id_col, vec_col, both)
+    return with_decoded(df, id_col, vec_col, both, bits)
 
 
 def energy_mix(df: DataFrame, id_col: str, vec_col: str, ratio: float = 0.2, bits: int = 4, block: int = 32) -> DataFrame:
@@ -461,23 +595,21 @@ def energy_mix(df: DataFrame, id_col: str, vec_col: str, ratio: float = 0.2, bit
 
     def both(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         codes, low, span = encode_blocks(v, block, m.levels, m.clip)
-        back = decode_blocks(codes, low, span, m)
+        back = decode_blocks(codes, stored_meta(low, span, m), m)
         back[:, high] = v[:, high].astype(np.float16)
         return codes, back
 
-    return with_decoded(df, id_col, vec_col, both)
+    return with_decoded(df, id_col, vec_col, both, bits)
 
 
 def packed_roundtrip(df: DataFrame, id_col: str, vec_col: str, bits: int) -> DataFrame:
-    """(id, bytes, same): codes of so many bits (0: ternary) packed and unpacked."""
+    """(id, data, same): codes of so many bits (0: ternary) packed, and whether unpacking gives them back."""
 
     def run(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         levels = 2 if bits == 0 else 2**bits - 1
         codes = encode_blocks(x, x.shape[1], levels, 1.0)[0]
         data = pack_ternary(codes) if bits == 0 else pack(codes, bits)
         back = unpack_ternary(data, x.shape[1]) if bits == 0 else unpack(data, bits, x.shape[1])
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(x), data.shape[1])), pa.array((back == codes).all(1))], [id_col, "bytes", "same"])
-
-    return map_vectors(df, id_col, vec_col, run, f"`{id_col}` long, bytes long, same boolean")
-
+        return pa.RecordBatch.from_arrays([pa.array(ids), blobs(data), pa.array((back == codes).all(1))], [id_col, "data", "same"])
 
+    return map_vectors(df, id_col, vec_col, run, f"`{id_col}` long, data binary, same boolean")

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.functions.arrow import matrix
+from glossa.functions.arrow import lists, matrix
+from glossa.operators.codecs import assign, kmeans
 
 METRICS = ("cosine", "ip", "l2")
 PLACES = 6
@@ -103,29 +104,142 @@ def rerank(candidates: DataFrame, queries: DataFrame, base: DataFrame, k: int, m
     return ranked(both.select("query_id", "vec_id", "_q", "_v").mapInArrow(run, "query_id long, vec_id long, score double"), k)
 
 
-def refine(queries: DataFrame, base: DataFrame, k: int, factor: int, coarse: Column, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Two stages: the k * factor nearest by a coarse form of the vectors, ranked exactly."""
-    q, v = queries.select(id_col, coarse.alias(vec_col)), base.select(id_col, coarse.alias(vec_col))
-    return rerank(knn(q, v, k * factor, metric, id_col, vec_col), queries, base, k, metric, id_col, vec_col)
+def refine(queries: DataFrame, base: DataFrame, k: int, factor: int, coarse: Column | tuple[Column, Column], metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", rows: int = 1024) -> DataFrame:
+    """Two stages: the k * factor nearest by a coarse form of the vectors, ranked exactly.
+
+    Both forms of a block are multiplied together: each pair of blocks gives the exact scores of its k * factor coarsely nearest rows, so
+    that no vector is joined to a pair afterwards. coarse may be two columns, of queries and of base.
+    """
+    left, right = coarse if isinstance(coarse, tuple) else (coarse, coarse)
+    wide = k * factor
+
+    def both(df: DataFrame, form: Column) -> DataFrame:
+        d = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), form.alias("c"), F.col(vec_col).alias("x"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for a in range(0, b.num_rows, rows):
+                    s = b.slice(a, rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([s.column(0).to_numpy().astype(np.int64).tobytes()]), *(pa.array([matrix(s.column(i)).tobytes()]) for i in (1, 2))], ["ids", "c", "x"])
+
+        return d.where("id is not null and c is not null").mapInArrow(run, "ids binary, c binary, x binary")
+
+    pairs = both(queries, left).toDF("qi", "qc", "qx").crossJoin(both(base, right).toDF("vi", "vc", "vx"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for qi, qc, qx, vi, vc, vx in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                (q, qc), (v, vc) = _unpack(qi, qc), _unpack(vi, vc)
+                qx, vx = _unpack(qi, qx)[1], _unpack(vi, vx)[1]
+                s = scores(qc, vc, metric)
+                s[q[:, None] == v[None, :]] = -np.inf
+                r, c = best(s, v, wide)
+                if metric == "cosine":
+                    qx, vx = (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300) for y in (qx, vx))
+                exact = -np.linalg.norm(qx[r] - vx[c], axis=1) if metric == "l2" else np.einsum("ij,ij->i", qx[r], vx[c])
+                yield pa.RecordBatch.from_arrays([pa.array(q[r]), pa.array(v[c]), pa.array(s[r, c]), pa.array(exact)], ["query_id", "vec_id", "near", "score"])
+
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, near double, score double")
+    w = Window.partitionBy("query_id").orderBy(F.round("near", PLACES).desc(), "vec_id")
+    return ranked(found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= wide).select("query_id", "vec_id", "score"), k)
 
 
 def centroids(df: DataFrame, cell_col: str, vec_col: str = "embedding") -> DataFrame:
-    """(cell, centroid): means of the vectors by cell, in one aggregation of (cell, dimension) partial sums."""
-    flat = df.select(F.col(cell_col).cast("long").alias("cell"), F.posexplode(vec_col).alias("dim", "x"))
-    means = flat.groupBy("cell", "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    """(cell, centroid): means of the vectors by cell; each task adds up its vectors by cell before they are summed over tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows:
+                cell, x = b.column(0).to_numpy(), matrix(b.column(1))
+                names, of = np.unique(cell, return_inverse=True)
+                part = np.zeros((len(names), x.shape[1] + 1))
+                np.add.at(part[:, :-1], of, x)
+                part[:, -1] = np.bincount(of)
+                for k, p in zip(names.tolist(), part, strict=True):
+                    sums[k] = sums[k] + p if k in sums else p
+        if sums:
+            cells, parts = np.array(list(sums)), np.array(list(sums.values()))
+            d = parts.shape[1] - 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cells, d)), pa.array(np.tile(np.arange(d, dtype=np.int32), len(cells))), pa.array(parts[:, :-1].ravel()), pa.array(np.repeat(parts[:, -1], d))], ["cell", "dim", "s", "n"])
+
+    some = df.select(F.col(cell_col).cast("long").alias("cell"), vec_col).where(F.col(vec_col).isNotNull() & F.col("cell").isNotNull())
+    means = some.mapInArrow(run, "cell long, dim int, s double, n double").groupBy("cell", "dim").agg((F.sum("s") / F.sum("n")).alias("m"))
     return means.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda e: e["m"]).alias("centroid"))
 
 
-def ivf(queries: DataFrame, base: DataFrame, cells: DataFrame, cell_col: str, k: int, nprobe: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def train_cells(df: DataFrame, cells: int, steps: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(cell, centroid) by Lloyd's algorithm over all vectors; as many cells as asked for must fit a broadcast."""
+    c = kmeans((df, id_col, vec_col), cells, steps)
+    return df.sparkSession.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "cell long, centroid array<double>")
+
+
+def assigned(df: DataFrame, cells: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """df's (id, vector) with the cell whose centroid is nearest, the first of equals; one narrow pass."""
+    rows = sorted(cells.collect(), key=lambda r: r["cell"])
+    names, c = np.array([r["cell"] for r in rows]), np.array([r["centroid"] for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[assign(matrix(b.column(1)), c)])], [id_col, vec_col, "cell"])
+
+    some = df.select(id_col, vec_col).where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
+    return some.mapInArrow(run, f"`{id_col}` long, `{vec_col}` {df.schema[vec_col].dataType.simpleString()}, cell long")
+
+
+def _by_cell(rows: DataFrame, size: int, split: int) -> DataFrame:
+    """(cell, ids, vecs): blocks of at most ``size`` vectors of one cell, from (cell, id, v). A cell's rows are spread over ``split`` tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cell, ids, x = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), matrix(b.column(2))
+            order = np.argsort(cell, kind="stable")
+            cuts = np.flatnonzero(np.diff(cell[order])) + 1
+            for part in np.split(order, cuts):
+                for a in range(0, len(part), size):
+                    at = part[a : a + size]
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[at[:1]]), pa.array([ids[at].tobytes()]), pa.array([np.ascontiguousarray(x[at]).tobytes()])], ["cell", "ids", "vecs"])
+
+    placed = rows.repartition(F.col("cell"), F.pmod(F.xxhash64("id"), F.lit(split))).sortWithinPartitions("cell")
+    return placed.mapInArrow(run, "cell long, ids binary, vecs binary")
+
+
+def ivf(queries: DataFrame, base: DataFrame, cells: DataFrame, cell_col: str | None, k: int, nprobe: int, id_col: str = "vec_id", vec_col: str = "embedding", rows: int = 1024, split: int = 8) -> DataFrame:
     """k best by cosine among the rows of the nprobe cells whose centroids have the largest inner product with the query.
 
-    Only rows that share a probed cell meet: the work follows the cells' sizes, not the square of the table.
+    base's cells are those of ``cell_col`` or, without one, the nearest. Queries and rows go to their cells in blocks, and only blocks of one
+    cell meet: what is shuffled is each vector once for each cell that it belongs to or probes, and k rows for each query and block.
+    A hot cell's blocks are spread over ``split`` tasks.
     """
-    c = cells.select(F.col("cell").alias(id_col), F.col("centroid").alias(vec_col))
-    probes = knn(queries, c, nprobe, "ip", id_col, vec_col, keep_self=True).select("query_id", F.col("vec_id").alias("cell"))
-    members = base.select(F.col(cell_col).cast("long").alias("cell"), F.col(id_col).alias("vec_id"))
-    pairs = probes.join(members, "cell").where("query_id != vec_id").select("query_id", "vec_id")
-    return rerank(pairs, queries, base, k, "cosine", id_col, vec_col)
+    c = sorted(cells.collect(), key=lambda r: r["cell"])
+    names, centres = np.array([r["cell"] for r in c], np.int64), np.array([r["centroid"] for r in c], float)
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows and len(names):
+                x = matrix(b.column(1))
+                r, at = best(scores(x, centres, "ip"), names, nprobe)
+                yield pa.RecordBatch.from_arrays([pa.array(names[at]), b.column(0).take(pa.array(r)), lists(x[r], pa.float64())], ["cell", "id", "v"])
+
+    some = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null and v is not null")
+    member = base if cell_col else assigned(base, cells, id_col, vec_col)
+    member = member.select(F.col(cell_col or "cell").cast("long").alias("cell"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null and v is not null and cell is not null")
+    q = _by_cell(some.mapInArrow(probed, "cell long, id long, v array<double>"), rows, split).toDF("cell", "qi", "qv")
+    pairs = q.join(_by_cell(member, rows, split).toDF("cell", "vi", "vv"), "cell").select("qi", "qv", "vi", "vv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for qi, qv, vi, vv in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                (q, x), (v, y) = _unpack(qi, qv), _unpack(vi, vv)
+                s = scores(x, y, "cosine")
+                s[q[:, None] == v[None, :]] = -np.inf
+                r, c = best(s, v, k)
+                yield pa.RecordBatch.from_arrays([pa.array(q[r]), pa.array(v[c]), pa.array(s[r, c])], ["query_id", "vec_id", "score"])
+
+    return ranked(pairs.mapInArrow(run, "query_id long, vec_id long, score double"), k)
 
 
 def label_vote(neighbours: DataFrame, labels: DataFrame, id_col: str = "vec_id", label_col: str = "label") -> DataFrame:

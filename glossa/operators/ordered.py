@@ -13,18 +13,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.functions.names import unused
+
 WIDTH = 1 << 16
 
 
 def running(df: DataFrame, by: list[str], order: str, value: Column, name: str, width: int = WIDTH) -> DataFrame:
-    """df with the sum of value over the rows of the same ``by`` up to this one in the order of an integer column, distinct within ``by``; null values count as 0."""
-    d = df.withColumn("_v", F.coalesce(value, F.lit(0)).cast("long")).withColumn("_b", F.floor(F.col(order) / width))
-    sums = d.groupBy(*by, "_b").agg(F.sum("_v").alias("_s"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*by, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = d.alias("d").join(base.alias("s"), [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*by, "_b")])
-    return joined.select(*[F.col(f"d.{c}") for c in (*df.columns, "_b", "_v")], "_base").withColumn(name, (F.col("_base") + F.sum("_v").over(inside)).cast("long")).drop("_b", "_v", "_base")
+    """df with the sum of value over the rows of the same ``by`` up to this one in the order of an integer column, distinct within ``by``; null values count as 0.
+
+    Columns of df may have any names; one that is called as the result is replaced.
+    """
+    v, b, part, base = unused(4, df)
+    keep = [c for c in df.columns if c.lower() != name.lower() or c in by or c == order]
+    d = df.withColumn(v, F.coalesce(value, F.lit(0)).cast("long")).withColumn(b, F.floor(F.col(order) / width)).select(*keep, v, b)
+    sums = d.groupBy(*by, b).agg(F.sum(v).alias(part))
+    before = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*by, b, F.coalesce(F.sum(part).over(before), F.lit(0)).alias(base))
+    inside = Window.partitionBy(*by, b).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = d.alias("d").join(bases.alias("s"), [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*by, b)])
+    return joined.select(*[F.col(f"d.{c}") for c in (*keep, b, v)], base).withColumn(name, (F.col(base) + F.sum(v).over(inside)).cast("long")).drop(b, v, base)
 
 
 def positioned(df: DataFrame, by: list[str], order: str, name: str = "position", width: int = WIDTH) -> DataFrame:
@@ -37,12 +44,13 @@ def balanced_batches(df: DataFrame, by: list[str], order: str, size: float) -> D
 
     Batch g begins at row floor(g * n / batches), so a row's batch is a closed form of its position.
     """
-    counts = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_g", F.greatest(F.lit(1), F.rint(F.col("_n") / F.lit(size)).cast("long")))
+    n, g = unused(2, df)
+    counts = df.groupBy(*by).agg(F.count("*").alias(n))
+    counts = counts.withColumn(g, F.greatest(F.lit(1), F.rint(F.col(n) / F.lit(size)).cast("long")))
     p = positioned(df, by, order)
     joined = p.alias("p").join(counts.alias("c"), [F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by])
-    batch = F.expr("((position + 1) * _g + _n - 1) div _n - 1")
-    return joined.select(*[F.col(f"p.{c}") for c in df.columns], "position", batch.alias("batch"))
+    batch = F.expr(f"((p.position + 1) * {g} + {n} - 1) div {n} - 1")
+    return joined.select(*[F.col(f"p.{c}") for c in df.columns if c.lower() not in ("position", "batch")], F.col("p.position"), batch.alias("batch"))
 
 
 def within_budget(df: DataFrame, by: list[str], order: str, size: Column, budget: int) -> DataFrame:

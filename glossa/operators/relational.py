@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.functions.names import unused
+
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key, the last in order; an aggregate, so that a hot key is combined before the shuffle."""
@@ -31,9 +33,11 @@ def split_known(entries: DataFrame, known: DataFrame, key: str) -> tuple[DataFra
 
 
 def cached(entries: DataFrame, cache: DataFrame, key: str) -> DataFrame:
-    """entries with the cache's columns, and hit. The cache has one row for each key."""
-    marked = cache.withColumn("hit", F.lit(True))
-    return entries.join(marked, key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    """entries with the cache's columns, and hit, which replaces columns of that name. The cache has one row for each key."""
+    (mark,) = unused(1, entries, cache)
+    plain = lambda t: t.select(*[c for c in t.columns if c.lower() != "hit" or c == key])
+    marked = plain(cache).withColumn(mark, F.lit(True))
+    return plain(entries).join(marked, key, "left").withColumn("hit", F.coalesce(mark, F.lit(False))).drop(mark)
 
 
 def rate_text(hits: Column, total: Column) -> Column:

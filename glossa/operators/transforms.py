@@ -8,25 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.arrow import lists, map_vectors
-from glossa.operators.codecs import column_mean, training_sample
+from glossa.operators.codecs import column_mean, seeds, totals
 
 
 def covariance(df: DataFrame, id_col: str, vec_col: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean and covariance from partial sums of x'x: D x D numbers for each task, whatever the number of rows."""
+    """Mean and covariance from sums of x'x: D x D numbers for each task, whatever the number of rows."""
     mean = column_mean(df, id_col, vec_col)
     d = len(mean)
-
-    def gram(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        g = (x - mean).T @ (x - mean)
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), lists(g, pa.float64()), pa.array(np.full(d, len(x)))], ["i", "g", "n"])
-
-    parts = map_vectors(df, id_col, vec_col, gram, "i int, g array<double>, n long").select("i", "n", F.posexplode("g").alias("j", "v"))
-    rows = parts.groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
-    out = np.zeros((d, d))
-    for r in rows:
-        out[r["i"], r["j"]] = r["v"]
-    n = rows[0]["n"] if rows else 0
-    return mean, out / max(n - 1, 1), n
+    got = totals((df, id_col, vec_col), lambda x: np.append(((x - mean).T @ (x - mean)).ravel(), len(x)), d * d + 1)
+    n = int(got[-1])
+    return mean, got[:-1].reshape(d, d) / max(n - 1, 1), n
 
 
 def pca(df: DataFrame, id_col: str, vec_col: str, dims: int) -> DataFrame:
@@ -66,7 +57,7 @@ def tt_restore(y: np.ndarray, cores: list[np.ndarray], shape: tuple[int, ...]) -
 
 def tensor_train_codec(df: DataFrame, id_col: str, vec_col: str, shape: tuple[int, ...] = (8, 8), rank: int = 6, sample: int = 5000) -> DataFrame:
     """(id, compressed, rmse) with cores fitted to a seeded sample."""
-    cores = tensor_train(training_sample(df, id_col, vec_col, sample), shape, rank)
+    cores = tensor_train(seeds((df, id_col, vec_col), sample), shape, rank)
 
     def run(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         y = tt_project(x, cores, shape)

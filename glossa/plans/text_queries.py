@@ -277,8 +277,8 @@ def dict_merge_union(t: Tables) -> DataFrame:
 
 @_add("dict_dedupe", "SELECT sum(n)::BIGINT AS before, sum(u)::BIGINT AS after FROM (SELECT count(o_orderpriority) AS n, count(DISTINCT o_orderpriority) AS u FROM orders GROUP BY o_custkey)")
 def dict_dedupe(t: Tables) -> DataFrame:
-    d = t.orders.groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("x"))
-    return d.agg(F.sum(F.size("x").cast("long")).alias("before"), F.sum(F.size(F.array_distinct("x")).cast("long")).alias("after"))
+    d = t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.count("o_orderpriority").alias("n"))
+    return d.agg(F.sum("n").alias("before"), F.count(F.when(F.col("n") > 0, 1)).alias("after"))
 
 
 @_add("ordered_distinct", """SELECT doc_id, count(*) AS lines, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM (SELECT doc_id, line, min(pos) AS pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) GROUP BY doc_id, line) GROUP BY doc_id""")
@@ -342,9 +342,13 @@ a AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY tur
 SELECT d.conv_id, d.turn, coalesce(string_agg(a.text, '|' ORDER BY a.k), '') AS context FROM d LEFT JOIN a ON a.conv_id = d.conv_id AND a.k <= d.done AND a.k > d.done - 2 WHERE d.role != 'assistant' GROUP BY d.conv_id, d.turn""")
 def context_space(t: Tables) -> DataFrame:
     """The two nearest answered rows before each open one."""
-    done = F.collect_list(F.when(F.col("role") == "assistant", F.col("text"))).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
-    near = F.slice(done, F.greatest(F.lit(1), F.size(done) - 1), F.lit(2))
-    return t.conversations.select("conv_id", "turn", "role", F.array_join(near, "|").alias("context")).where("role != 'assistant'").drop("role")
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    text = F.when(F.col("role") == "assistant", F.col("text"))
+    # Each answered row carries the one before it, so that no list of rows is held.
+    pair = F.when(text.isNotNull(), F.struct(F.last(text, True).over(before).alias("p"), text.alias("t")))
+    near = F.last("pair", True).over(before)
+    rows = t.conversations.select("conv_id", "turn", "role", pair.alias("pair")).withColumn("near", near)
+    return rows.where("role != 'assistant'").select("conv_id", "turn", F.concat_ws("|", "near.p", "near.t").alias("context"))
 
 
 @_add("sliding_60s_requests_tokens", """SELECT event_id, count(*) OVER w AS requests, round(sum(value) OVER w, 4) AS tokens FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '59.999999 seconds' PRECEDING AND CURRENT ROW)""")

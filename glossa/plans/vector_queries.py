@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.operators import codecs, knn, transforms
+from glossa.operators import codecs, knn, store, transforms
+from glossa.streaming.runner import shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +56,35 @@ def _two_stage(coarse: str, ctes: str = "", wide: int = 100) -> str:
 
 _add("refine_lowdim_top10", lambda e: knn.refine(e, e, 10, 10, F.slice("embedding", 1, 16)), _two_stage("(SELECT vec_id, x[1:16] AS z FROM v)"))
 
+def _bits(code: str, width: int) -> str:
+    return f"lpad(bin(({code})::BIGINT & {2**width - 1}), {width}, '0')"
+
+
+def _hex(bits: str) -> str:
+    """Hexadecimal digits of a string of bits."""
+    bit = lambda k: f"(ascii(substr({bits}, 4 * i + {k + 1}, 1)) - 48)"
+    return f"array_to_string(list_transform(range(0, length({bits}) // 4), lambda i: substr('0123456789abcdef', (1 + 8 * {bit(0)} + 4 * {bit(1)} + 2 * {bit(2)} + {bit(3)})::INT, 1)), '')"
+
+
+def _int(bits: str) -> str:
+    """The number that a string of bits stands for."""
+    return f"list_sum(list_transform(range(0, length({bits})), lambda i: (ascii(substr({bits}, (i + 1)::INT, 1)) - 48) * (1::BIGINT << (length({bits}) - 1 - i)::INT)))"
+
+
+def _low_first(code: str) -> str:
+    """Sixteen bits as hexadecimal digits, the lower byte first."""
+    return f"printf('%02x%02x', ({code})::BIGINT & 255, (({code})::BIGINT >> 8) & 255)"
+
+
+def _data(levels: int, table: str = "k") -> str:
+    """SELECT of (vec_id, data): the packed codes of a table (vec_id, dim, code) in hexadecimal digits."""
+    if levels == 2:
+        return f"SELECT vec_id, string_agg(printf('%02x', v), '' ORDER BY g) AS data FROM (SELECT vec_id, dim // 5 AS g, sum(code * pow(3, 4 - dim % 5))::BIGINT AS v FROM {table} GROUP BY ALL) GROUP BY vec_id"
+    width = levels.bit_length()
+    order = "dim // 4, -(dim % 4)" if width == 2 else "dim"
+    return f"SELECT vec_id, {_hex('b')} AS data FROM (SELECT vec_id, string_agg({_bits('code', width)}, '' ORDER BY {order}) AS b FROM {table} GROUP BY vec_id)"
+
+
 _FLAT = "f AS (SELECT vec_id, unnest(x) AS x, generate_subscripts(x, 1) - 1 AS dim FROM v)"
 
 
@@ -68,12 +99,12 @@ _GSQ_DEC = "d AS (SELECT vec_id, list(code / {top}.0 * qspan + qlo ORDER BY dim)
 for _b in (2, 3, 4, 5, 6, 8):
     _add(
         f"codec_gsq{_b}",
-        lambda e, b=_b: codecs.gsq(e, "vec_id", "embedding", b).select("vec_id", "codes", F.round(F.aggregate("decoded", F.lit(0.0), lambda s, x: s + x * x), 6).alias("energy")),
-        f"WITH {_V}, {_gsq_cte(_b)} SELECT vec_id, string_agg(code, ',' ORDER BY dim) AS codes, round(sum(pow(code / {2**_b - 1}.0 * qspan + qlo, 2) ORDER BY dim), 6) AS energy FROM k GROUP BY vec_id",
+        lambda e, b=_b: codecs.gsq(e, "vec_id", "embedding", b).select("vec_id", F.lower(F.hex("data")).alias("data"), F.round(F.aggregate("decoded", F.lit(0.0), lambda s, x: s + x * x), 6).alias("energy")),
+        f"WITH {_V}, {_gsq_cte(_b)}, y AS ({_data(2**_b - 1)}) SELECT vec_id, data, energy FROM y JOIN (SELECT vec_id, round(sum(pow(code / {2**_b - 1}.0 * qspan + qlo, 2) ORDER BY dim), 6) AS energy FROM k GROUP BY vec_id) USING (vec_id)",
     )
 _add(
     "refine_quantised_top10",
-    lambda e: knn.rerank(knn.knn(*(2 * [codecs.gsq(e, "vec_id", "embedding", 4).select("vec_id", F.col("decoded").alias("embedding"))]), 50), e, e, 10),
+    lambda e: (lambda d: knn.refine(d, d, 10, 5, F.col("decoded")))(e.select("vec_id", "embedding").join(codecs.gsq(e, "vec_id", "embedding", 4).select("vec_id", "decoded"), "vec_id")),
     _two_stage("d", f", {_gsq_cte(4)}, {_GSQ_DEC.format(top=15)}", 50),
 )
 _add(
@@ -92,7 +123,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_i
 
 def _recall(e: DataFrame) -> DataFrame:
     ks = (2, 3, 5, 10, 50, 100)
-    truth = knn.knn(e, e, max(ks), "cosine", keep_self=True)
+    truth = knn.knn(e, e, max(ks), "cosine", keep_self=True).persist(StorageLevel.DISK_ONLY)  # each codec is compared with it
     parts = []
     for bits in (2, 4, 6, 8):
         d = codecs.gsq(e, "vec_id", "embedding", bits).select("vec_id", F.col("decoded").alias("embedding"))
@@ -115,18 +146,33 @@ def _recall_sql() -> str:
 _add("recall_at_k", _recall, _recall_sql())
 
 
-def _block_sql(levels: int, block: int, clip: float = codecs.CLIP, centred: bool = False) -> str:
+def _block_ctes(levels: int, block: int, clip: float = codecs.CLIP, centred: bool = False) -> tuple[str, str]:
+    """Common table expressions with k (codes and statistics by dimension) and z (vec_id, data, meta), and the decoded value."""
     base = f"{_FLAT}" if not centred else f"{_FLAT.replace('f AS', 'f0 AS')}, mu AS (SELECT dim, avg(x) AS mu FROM f0 GROUP BY dim), f AS (SELECT vec_id, x - mu AS x, dim, mu FROM f0 JOIN mu USING (dim))"
-    back = "code / {0}.0 * qs + ql".format(levels) + (" + mu" if centred else "")
+    stored = lambda x, top: f"round_even(least(greatest({x} / {top}, -1), 1 - pow(2.0, -15)) * 32768, 0)"
     return f"""WITH {_V}, {base}, p AS (SELECT vec_id, dim // {block} AS blk, quantile_cont(x, {1 - clip}) AS a, quantile_cont(x, {clip}) AS b FROM f GROUP BY ALL),
 c AS (SELECT f.*, least(greatest(x, a), b) AS y, blk FROM f JOIN p ON p.vec_id = f.vec_id AND p.blk = f.dim // {block}),
 s AS (SELECT vec_id, blk, min(y) AS lo, greatest(max(y) - min(y), 1e-8) AS span FROM c GROUP BY ALL), m AS (SELECT greatest(max(abs(lo)), 1e-8) AS tm, greatest(max(span), 1e-8) AS ts FROM s),
-k AS (SELECT c.*, round_even((y - lo) / span * {levels}, 0)::INT AS code, round_even(least(greatest(lo / tm, -1), 1 - pow(2.0, -15)) * 32768, 0) / 32768 * tm AS ql, round_even(least(greatest(span / ts, -1), 1 - pow(2.0, -15)) * 32768, 0) / 32768 * ts AS qs FROM c JOIN s USING (vec_id, blk), m)
-SELECT vec_id, string_agg(code, ',' ORDER BY dim) AS codes, round(sqrt(avg(pow({back} - x{' - mu' if centred else ''}, 2) ORDER BY dim)), 6) AS rmse FROM k GROUP BY vec_id"""
+k AS (SELECT c.*, round_even((y - lo) / span * {levels}, 0)::INT AS code, {stored('lo', 'tm')} / 32768 * tm AS ql, {stored('span', 'ts')} / 32768 * ts AS qs FROM c JOIN s USING (vec_id, blk), m),
+t AS (SELECT vec_id, string_agg({_low_first(stored('lo', 'tm'))}, '' ORDER BY blk) || string_agg({_low_first(stored('span', 'ts'))}, '' ORDER BY blk) AS meta FROM s, m GROUP BY vec_id),
+z AS (SELECT vec_id, data, meta FROM ({_data(levels)}) JOIN t USING (vec_id))""", f"(code / {levels}.0 * qs + ql)"
+
+
+def _block_sql(levels: int, block: int, clip: float = codecs.CLIP, centred: bool = False) -> str:
+    ctes, back = _block_ctes(levels, block, clip, centred)
+    return f"{ctes} SELECT vec_id, data, meta, rmse FROM z JOIN (SELECT vec_id, round(sqrt(avg(pow({back} - x, 2) ORDER BY dim)), 6) AS rmse FROM k GROUP BY vec_id) USING (vec_id)"
 
 
 def _coded(df: DataFrame) -> DataFrame:
-    return df.select("vec_id", "codes", F.round("rmse", 6).alias("rmse"))
+    """The stored bytes in hexadecimal digits, and the error of what they decode to."""
+    return df.select("vec_id", *(F.lower(F.hex(c)).alias(c) for c in ("data", "meta") if c in df.columns), F.round("rmse", 6).alias("rmse"))
+
+
+def _scalar(width: int, code: str = "code") -> str:
+    """(vec_id, data) of k (vec_id, dim, code): whole bytes low byte first, others packed."""
+    if width == 16:
+        return f"SELECT vec_id, string_agg({_low_first(code)}, '' ORDER BY dim) AS data FROM k GROUP BY vec_id"
+    return _data(2**width - 1)
 
 
 for _b in (2, 3, 4, 5, 6, 8):
@@ -138,23 +184,30 @@ for _b in (7, 11, 15):
     _add(
         f"codec_e0m{_b}",
         lambda e, b=_b: _coded(codecs.scalar_codec(e, "vec_id", "embedding", f"e0m{b}")),
-        f"WITH {_V}, {_FLAT}, k AS (SELECT vec_id, dim, x, round_even(greatest(least(x, 1 - pow(2.0, -{_b})), -1) * {2**_b}, 0)::BIGINT AS c FROM f) SELECT vec_id, string_agg(c, ',' ORDER BY dim) AS codes, round(sqrt(avg(pow(c / {2**_b}.0 - x, 2) ORDER BY dim)), 6) AS rmse FROM k GROUP BY vec_id",
+        f"WITH {_V}, {_FLAT}, k AS (SELECT vec_id, dim, x, round_even(greatest(least(x, 1 - pow(2.0, -{_b})), -1) * {2**_b}, 0)::BIGINT AS code FROM f) SELECT vec_id, data, rmse FROM ({_scalar(_b + 1)}) JOIN (SELECT vec_id, round(sqrt(avg(pow(code / {2**_b}.0 - x, 2) ORDER BY dim)), 6) AS rmse FROM k GROUP BY vec_id) USING (vec_id)",
     )
 for _b in (8, 12, 16):
     _add(
         f"codec_max{_b}",
         lambda e, b=_b: _coded(codecs.scalar_codec(e, "vec_id", "embedding", f"max{b}")),
-        f"WITH {_V}, {_FLAT}, m AS (SELECT greatest(max(abs(x)), 1e-8) / {2 ** (_b - 1) - 1} AS s FROM f), k AS (SELECT vec_id, dim, x, s, round_even(x / s, 0)::BIGINT AS c FROM f, m) SELECT vec_id, string_agg(c, ',' ORDER BY dim) AS codes, round(sqrt(avg(pow(c * s - x, 2) ORDER BY dim)), 6) AS rmse FROM k GROUP BY vec_id",
+        f"WITH {_V}, {_FLAT}, m AS (SELECT greatest(max(abs(x)), 1e-8) / {2 ** (_b - 1) - 1} AS s FROM f), k AS (SELECT vec_id, dim, x, s, round_even(x / s, 0)::BIGINT AS code FROM f, m) SELECT vec_id, data, rmse FROM ({_scalar(_b)}) JOIN (SELECT vec_id, round(sqrt(avg(pow(code * s - x, 2) ORDER BY dim)), 6) AS rmse FROM k GROUP BY vec_id) USING (vec_id)",
     )
+_FLOAT = f"WITH {_V}, {_FLAT}, w AS (SELECT vec_id, dim, x, x::FLOAT::BIT::VARCHAR AS b FROM f)"
+_PARTS = f"u AS (SELECT *, {_int('substr(b, 1, 1)')} AS sg, {_int('substr(b, 2, 8)')} AS ex, {_int('substr(b, 10, 7)')} AS m7, {_int('substr(b, 10, 3)')} AS m3 FROM w)"
+_FLOATS = {
+    "bf16": f"{_FLOAT}, {_PARTS}, k AS (SELECT vec_id, dim, x, CASE WHEN x = 0 THEN 0 ELSE sg * 32768 + ex * 128 + m7 END AS code, CASE WHEN x = 0 THEN 0 ELSE (1 - 2 * sg) * pow(2.0, ex - 127) * (1 + m7 / 128.0) END AS back FROM u) SELECT vec_id, data, rmse FROM ({_scalar(16)}) JOIN (SELECT vec_id, round(sqrt(avg(pow(back - x, 2) ORDER BY dim)), 6) AS rmse FROM k GROUP BY vec_id) USING (vec_id)",
+    "e4m3": f"{_FLOAT}, {_PARTS}, k AS (SELECT *, CASE WHEN code = 0 THEN 0 ELSE (1 - 2 * (code // 128)) * pow(2.0, (code // 8) % 16 - 7) * (1 + (code % 8) / 8.0) END AS back FROM (SELECT vec_id, dim, x, CASE WHEN x = 0 THEN 0 ELSE sg * 128 + (least(greatest(ex, 120), 135) - 120) * 8 + m3 END AS code FROM u)) SELECT vec_id, data, rmse FROM ({_scalar(8)}) JOIN (SELECT vec_id, round(sqrt(avg(pow(back - x, 2) ORDER BY dim)), 6) AS rmse FROM k GROUP BY vec_id) USING (vec_id)",
+    "f32": f"{_FLOAT} SELECT vec_id, string_agg({_hex('substr(b, 25, 8)')} || {_hex('substr(b, 17, 8)')} || {_hex('substr(b, 9, 8)')} || {_hex('substr(b, 1, 8)')}, '' ORDER BY dim) AS data, 0.0::DOUBLE AS rmse FROM w GROUP BY vec_id",
+}
 for _n in ("bf16", "e4m3", "f16", "f32"):
-    _add(f"codec_{_n}", lambda e, n=_n: _coded(codecs.scalar_codec(e, "vec_id", "embedding", n)))
+    _add(f"codec_{_n}", lambda e, n=_n: _coded(codecs.scalar_codec(e, "vec_id", "embedding", n)), _FLOATS.get(_n))
 _add(
     "codec_q2nf",
     lambda e: _coded(codecs.nf_codec(e, "vec_id", "embedding")),
     f"""WITH {_V}, {_FLAT}, p AS (SELECT vec_id, dim // 32 AS blk, quantile_cont(x, {1 - codecs.CLIP}) AS a, quantile_cont(x, {codecs.CLIP}) AS b FROM f GROUP BY ALL),
 c AS (SELECT f.*, least(greatest(x, a), b) AS y, blk FROM f JOIN p ON p.vec_id = f.vec_id AND p.blk = f.dim // 32), s AS (SELECT vec_id, blk, greatest(stddev_pop(y), 1e-8) AS sd FROM c GROUP BY ALL),
 k AS (SELECT c.*, sd, CASE WHEN y / sd < -0.9816 THEN 0 WHEN y / sd < 0 THEN 1 WHEN y / sd < 0.9816 THEN 2 ELSE 3 END AS code FROM c JOIN s USING (vec_id, blk))
-SELECT vec_id, string_agg(code, ',' ORDER BY dim) AS codes, round(sqrt(avg(pow([-1.5121, -0.4528, 0.4528, 1.5121][code + 1] * sd - x, 2) ORDER BY dim)), 6) AS rmse FROM k GROUP BY vec_id""",
+SELECT vec_id, data, rmse FROM ({_data(3)}) JOIN (SELECT vec_id, round(sqrt(avg(pow([-1.5121, -0.4528, 0.4528, 1.5121][code + 1] * sd - x, 2) ORDER BY dim)), 6) AS rmse FROM k GROUP BY vec_id) USING (vec_id)""",
 )
 _add("codec_rowtopk_mix", lambda e: _coded(codecs.row_top_mix(e, "vec_id", "embedding")))
 _add("codec_energy_mix", lambda e: _coded(codecs.energy_mix(e, "vec_id", "embedding")))
@@ -165,24 +218,26 @@ for _n, _k in (("1", 2), ("tq1", 3), ("2", 4), ("3", 8), ("4", 16), ("5", 32), (
 for _n, _k in (("1", 2), ("tq1", 3), ("2", 4), ("3", 8), ("4", 16)):
     _add(f"codec_polar_{_n}", lambda e, k=_k: _coded(codecs.polar_codec(e, "vec_id", "embedding", k)))
 for _b in (1, 2, 3, 4, 5, 6, 8, 12, 0):
-    _n = "ternary" if _b == 0 else str(_b)
-    _size = -(-64 // 5) if _b == 0 else (64 * _b + 7) // 8
-    _add(f"pack_roundtrip_{_n}", lambda e, b=_b: codecs.packed_roundtrip(e, "vec_id", "embedding", b), f"SELECT vec_id, {_size}::BIGINT AS bytes, true AS same FROM embeddings")
+    _n, _l = ("ternary", 2) if _b == 0 else (str(_b), 2**_b - 1)
+    _add(
+        f"pack_roundtrip_{_n}",
+        lambda e, b=_b: codecs.packed_roundtrip(e, "vec_id", "embedding", b).select("vec_id", F.lower(F.hex("data")).alias("data"), "same"),
+        f"WITH {_V}, {_FLAT}, s AS (SELECT vec_id, min(x) AS lo, greatest(max(x) - min(x), 1e-8) AS span FROM f GROUP BY vec_id), k AS (SELECT vec_id, dim, round_even((x - lo) / span * {_l}, 0)::INT AS code FROM f JOIN s USING (vec_id)) SELECT vec_id, data, true AS same FROM ({_data(_l)})",
+    )
 
 
 def _cos_loss(e: DataFrame) -> DataFrame:
-    d = codecs.apply_blocks(e, "vec_id", "embedding", codecs.fit_blocks(e, "vec_id", "embedding", 15, 32)).select("vec_id", "decoded", "rmse")
+    d = codecs.apply_blocks(e, "vec_id", "embedding", codecs.fit_blocks(e, "vec_id", "embedding", 15, 32)).select("vec_id", "decoded", "rmse", (F.octet_length("data") + F.octet_length("meta")).alias("size"))
     j = d.join(e.select("vec_id", "embedding"), "vec_id")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     cos = dot(F.col("embedding"), F.col("decoded")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("decoded"), F.col("decoded")))
-    return j.agg(F.round(F.sqrt(F.avg(F.col("rmse") * F.col("rmse"))), 6).alias("rmse"), F.round(F.avg(1 - cos), 6).alias("cos_loss"), F.lit(4 + 32 / 32).alias("bits_per_dim"))
+    return j.agg(F.round(F.sqrt(F.avg(F.col("rmse") * F.col("rmse"))), 6).alias("rmse"), F.round(F.avg(1 - cos), 6).alias("cos_loss"), F.round(8 * F.sum("size") / F.sum(F.size("embedding")), 6).alias("bits_per_dim"))
 
 
 _add(
     "codec_rmse_cosloss",
     _cos_loss,
-    _block_sql(15, 32).replace("SELECT vec_id, string_agg(code, ',' ORDER BY dim) AS codes, round(sqrt(avg(pow(code / 15.0 * qs + ql - x, 2) ORDER BY dim)), 6) AS rmse FROM k GROUP BY vec_id", "")
-    + "SELECT round(sqrt(avg(e)), 6) AS rmse, round(avg(1 - c), 6) AS cos_loss, 5.0::DOUBLE AS bits_per_dim FROM (SELECT vec_id, avg(pow(code / 15.0 * qs + ql - x, 2)) AS e, sum(x * (code / 15.0 * qs + ql)) / sqrt(sum(x * x) * sum(pow(code / 15.0 * qs + ql, 2))) AS c FROM k GROUP BY vec_id)",
+    (lambda c: f"{c[0]}, e AS (SELECT vec_id, avg(pow({c[1]} - x, 2)) AS e, sum(x * {c[1]}) / sqrt(sum(x * x) * sum(pow({c[1]}, 2))) AS c, count(*) AS dims FROM k GROUP BY vec_id) SELECT round(sqrt(avg(e)), 6) AS rmse, round(avg(1 - c), 6) AS cos_loss, round(sum((length(data) + length(meta)) * 4) / sum(dims), 6)::DOUBLE AS bits_per_dim FROM e JOIN z USING (vec_id)")(_block_ctes(15, 32)),
 )
 _add("pca_project", lambda e: transforms.pca(e, "vec_id", "embedding", 8).select("vec_id", F.transform("projected", lambda x: F.round(x, 6)).alias("projected")))
 _add("tensor_train", lambda e: transforms.tensor_train_codec(e, "vec_id", "embedding").select("vec_id", F.size("compressed").alias("dims"), F.round("rmse", 6).alias("rmse")))
@@ -194,7 +249,24 @@ _add(
 _add(
     "codec_append",
     lambda e: _coded(codecs.apply_blocks(e.unionByName(e.withColumn("vec_id", F.col("vec_id") + 1_000_000)), "vec_id", "embedding", codecs.fit_blocks(e, "vec_id", "embedding", 63, 32))),
-    _block_sql(63, 32).replace("SELECT vec_id, string_agg", "SELECT vec_id + o AS vec_id, codes, rmse FROM (SELECT vec_id, string_agg") + "), (VALUES (0), (1000000)) t(o)",
+    (lambda c: f"{c[0]}, r AS (SELECT vec_id, round(sqrt(avg(pow({c[1]} - x, 2) ORDER BY dim)), 6) AS rmse FROM k GROUP BY vec_id) SELECT vec_id + o AS vec_id, data, meta, rmse FROM z JOIN r USING (vec_id), (VALUES (0), (1000000)) t(o)")(_block_ctes(63, 32)),
+)
+
+
+def _stored(e: DataFrame) -> DataFrame:
+    """A store is written, appended to with other ids, opened again, and decoded from its files alone."""
+    path = shared(e.sparkSession, "store")
+    store.write(e, path, "Q6_K")
+    s = store.open_store(e.sparkSession, path)
+    s.append(e.withColumn("vec_id", F.col("vec_id") + 1_000_000))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return s.vectors().select("vec_id", F.round(total, 4).alias("energy"))
+
+
+_add(
+    "store_round_trip",
+    _stored,
+    (lambda c: f"{c[0]} SELECT vec_id + o AS vec_id, energy FROM (SELECT vec_id, round(sum(pow({c[1]}::FLOAT::DOUBLE, 2) ORDER BY dim), 4) AS energy FROM k GROUP BY vec_id), (VALUES (0), (1000000)) t(o)")(_block_ctes(63, 32)),
 )
 _add(
     "normalise_l2",

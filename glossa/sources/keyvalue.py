@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import ast
 import json
+import posixpath
+import re
+import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -147,20 +151,40 @@ def _parsed(v: str | None):
     return v
 
 
-def write_texts(contents: DataFrame, path: str) -> None:
-    """One text file for each row (file, content), named by the last part of file below path; a task writes its own rows."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pathlib import Path
-
-        root = Path(path)
-        root.mkdir(parents=True, exist_ok=True)
-        for part in parts:
-            names = []
-            for file, content in zip(part["file"], part["content"], strict=True):
-                at = root / file.rstrip("/").rsplit("/", 1)[-1]
-                at.write_text(content, encoding="utf-8")
-                names.append(str(at))
-            yield pd.DataFrame({"written": names})
-
-    contents.select("file", "content").mapInPandas(run, "written string").write.format("noop").mode("overwrite").save()
+def write_texts(contents: DataFrame, path: str, root: str | None = None) -> list[str]:
+    """One text file for each row (file, content) below path, which any file system of Spark may hold; returns the files' relative paths.
+
+    Files keep their folders: the part of file after root or, where that isn't given and files are absolute, after the folder that all of
+    them share. Tasks write into a temporary folder of path, and each file is then renamed to its place, so that a task that runs
+    again leaves nothing behind. A file ends with a line break; of repeated names one stays; null names are left out; names that
+    lead out of path are an error.
+    """
+    spark = contents.sparkSession
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    work = at(path, f"_writing-{uuid.uuid4().hex}")
+    fs = work.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = contents.where("file is not null").groupBy(F.col("file").alias("_file")).agg(F.max(F.coalesce("content", F.lit(""))).alias("value"))
+    rows.select("value", "_file").write.partitionBy("_file").text(work.toString())
+    made = {unquote(x.getPath().getName()[len("_file=") :]): x.getPath() for x in fs.listStatus(work) if x.isDirectory()}
+    plain = {name: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", "", name) for name in made}
+    if root is not None:
+        base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", "", root).rstrip("/") + "/"
+        plain = {k: v.removeprefix(base) for k, v in plain.items()}
+    elif plain and all(v.startswith("/") for v in plain.values()):
+        shared = posixpath.commonpath([posixpath.dirname(v) for v in plain.values()])
+        plain = {k: posixpath.relpath(v, shared) for k, v in plain.items()}
+    out = []
+    for name, folder in sorted(made.items()):
+        place = posixpath.normpath(plain[name].lstrip("/"))
+        if place in ("", ".") or place.split("/")[0] == "..":
+            raise ValueError(f"not a file below the folder: {name}")
+        goal = at(path, place)
+        fs.mkdirs(goal.getParent())
+        fs.delete(goal, False)
+        part = next(x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-"))
+        if not fs.rename(part, goal):
+            raise OSError(f"can't write {goal}")
+        out.append(place)
+    fs.delete(work, True)
+    return out

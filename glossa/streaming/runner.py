@@ -13,7 +13,7 @@ def shared(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir; only a session on one machine may do without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="glossa-")
     return f"{base}/glossa/{name}-{uuid.uuid4().hex}"
@@ -23,7 +23,7 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     """The files of a path (a file or a folder) as a stream."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*")
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name[:-1]}[{name[-1]}]")  # a pattern that only this name meets
 
 
 def finished(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glossa.operators import codecs, enrich, ordered, relational
+from glossa.operators import codecs, enrich, knn, ordered, relational, store
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -121,3 +121,68 @@ def test_no_module_outside_uses_the_subpackage():
     for p in (ROOT / "glossa").rglob("*.py"):
         if "llm" not in p.parts:
             assert "glossa.llm" not in p.read_text(encoding="utf-8"), p
+
+
+def vectors(spark, n: int, d: int, seed: int = 0, clusters: int = 0):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, d))
+    if clusters:
+        x += 4 * r.normal(size=(clusters, d))[r.integers(0, clusters, n)]
+    return spark.createDataFrame([(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+
+
+def test_a_store_is_decoded_from_its_bytes(spark, tmp_path):
+    df = vectors(spark, 60, 128)
+    x = {r.vec_id: np.array(r.embedding) for r in df.collect()}
+    store.CODECS["Q4_K_128"] = store.Codec(15, 128)
+    for name, worst in (("Q4_K_128", 0.2), ("Q8_K_M", 0.02), ("TQ1_K_M", 1.0)):
+        s = store.write(df, str(tmp_path / name), name)
+        again = store.open_store(spark, str(tmp_path / name))
+        assert again.fingerprint() == s.fingerprint()
+        back = {r.vec_id: np.array(r.embedding) for r in again.vectors().collect()}
+        assert np.sqrt(np.mean([(back[i] - x[i]) ** 2 for i in x])) < worst
+        if name == "Q4_K_128":
+            assert s.bits_per_dimension() == 4.25  # four bits, and two 16-bit numbers for each block of 128
+        before = s.fingerprint()
+        again.append(df.withColumn("vec_id", F.col("vec_id") + 1000).unionByName(spark.createDataFrame([(None, [1.0] * 128), (5, None)], df.schema)))
+        assert again.coded().count() == 120 and again.fingerprint() != before
+        assert np.allclose({r.vec_id: np.array(r.embedding) for r in again.vectors().collect()}[1007], back[7])
+
+
+def test_trained_codebooks_use_all_vectors(spark):
+    """Distributed fits equal those in one place, and a rare cluster that no sample need hold gets a centroid."""
+    df = vectors(spark, 400, 8, 1, 5).repartition(3)
+    x = np.array([r.embedding for r in df.orderBy("vec_id").collect()])
+    start = codecs.seeds((df, "vec_id", "embedding"), 6)
+    want = start
+    for _ in range(7):
+        a = codecs.assign(x, want)
+        want = np.array([x[a == k].mean(0) if (a == k).any() else want[k] for k in range(6)])
+    assert np.allclose(codecs.kmeans((df, "vec_id", "embedding"), 6, 7), want, atol=1e-5)
+    u = np.random.default_rng(2).normal(size=20_000)
+    assert np.allclose(codecs.lloyd_max_of(codecs.histogram(u), 4), codecs.lloyd_max(u, 4), atol=0.02)
+    mean, r, books = codecs.fit_opq((df, "vec_id", "embedding"), 2, 3, 8)
+    assert np.allclose(r @ r.T, np.eye(8), atol=1e-8) and np.allclose(mean, x.mean(0), atol=1e-5)
+    rotated = ((codecs.decode_pq(codecs.encode_pq((x - mean) @ r, books), books) @ r.T + mean - x) ** 2).mean()
+    plain = codecs.fit_pq((df, "vec_id", "embedding"), 2, 3)
+    assert rotated <= ((codecs.decode_pq(codecs.encode_pq(x, plain), plain) - x) ** 2).mean() * 1.1
+
+
+def test_cells_that_are_trained_find_most_neighbours(spark):
+    df = vectors(spark, 600, 16, 3, 12)
+    cells = knn.train_cells(df, 12, 10)
+    exact = {(r.query_id, r.vec_id): r.score for r in knn.knn(df, df, 5).collect()}
+    got = {(r.query_id, r.vec_id): r.score for r in knn.ivf(df, df, cells, None, 5, 4, rows=50).collect()}
+    assert len(got) == len(exact) and len(set(got) & set(exact)) >= 0.9 * len(exact)
+    assert all(abs(exact[p] - got[p]) < 1e-5 for p in set(got) & set(exact))
+    every = {(r.query_id, r.vec_id) for r in knn.ivf(df, df, cells, None, 5, 12).collect()}
+    assert every == set(exact)
+
+
+def test_columns_of_any_name_are_borne(spark):
+    df = spark.createDataFrame([(i % 2, i, i) for i in range(20)], "k long, o long, v long").selectExpr("*", *(f"'x' as {c}" for c in ("_base", "_b", "_v", "_n", "_g", "_x0", "hit", "position", "batch")))
+    assert ordered.running(df, ["k"], "o", F.col("v"), "s").count() == 20
+    got = ordered.balanced_batches(df, ["k"], "o", 4.0)
+    assert {type(r.batch) for r in got.collect()} == {int} and set(got.columns) == set(df.columns)
+    cache = spark.createDataFrame([(1, "y", "z")], "k long, hit string, w string")
+    assert {(r.k, r.hit, r.w) for r in relational.cached(df, cache, "k").collect()} == {(1, True, "z"), (0, False, None)}

@@ -52,6 +52,25 @@ def test_writers(spark, tmp_path):
     assert pairs(keyvalue.lang(keyvalue.texts(spark, str(tmp_path / "out"), "*.lang")))[0] == ("a", "x")
 
 
+def test_files_of_one_name_keep_their_folders(spark, tmp_path):
+    """Two mods with a file of the same name are read, written below another folder, and read again."""
+    for mod in ("a", "b"):
+        (tmp_path / "in" / mod / "lang").mkdir(parents=True)
+        (tmp_path / "in" / mod / "lang" / "en_us.lang").write_text(f"name={mod} 100%\n", encoding="utf-8")
+    out = str(tmp_path / "out")
+
+    def read(path):
+        return keyvalue.lang(spark.read.text(f"{path}/*/lang/*.lang", wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content")))
+
+    lines = keyvalue.joined_lines(read(tmp_path / "in"), keyvalue.lang_line(F.col("key"), F.col("value")))
+    assert keyvalue.write_texts(lines, out) == ["a/lang/en_us.lang", "b/lang/en_us.lang"]
+    assert keyvalue.write_texts(lines, out, str(tmp_path)) == ["in/a/lang/en_us.lang", "in/b/lang/en_us.lang"]
+    assert sorted(r.value for r in read(out).collect()) == ["a 100%", "b 100%"]
+    assert not [x for x in (tmp_path / "out").iterdir() if x.name.startswith("_writing")]
+    with pytest.raises(ValueError):
+        keyvalue.write_texts(spark.createDataFrame([("../x", "y")], "file string, content string"), out)
+
+
 @pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "gb18030", "utf-16"])
 def test_decode(encoding):
     assert decode_any("铁锭 plain".encode(encoding)) == "铁锭 plain"
