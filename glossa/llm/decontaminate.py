@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .graph import without
-from .common import dropped, written
+from .common import dropped, lean, written
 
 
 @dataclass(frozen=True)
@@ -214,7 +214,7 @@ def _frequencies(d: DataFrame, p: LsiParams) -> Weights | None:
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], total))], ["feature", "n"])
 
-    got = {r[0]: r[1] for r in d.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n")).collect()}
+    got = {r[0]: r[1] for r in d.select("text").mapInArrow(lean(run), "feature long, n long").groupBy("feature").agg(F.sum("n")).collect()}
     total = got.pop(-1, 0)
     if not total:
         return None
@@ -270,7 +270,7 @@ def latent_space(d: DataFrame, weights: Weights, p: LsiParams) -> np.ndarray:
             total += np.frombuffer(x, np.float32)
         return pa.table({"part": group.column("part").slice(0, 1), "slab": group.column("slab").slice(0, 1), "z": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    sums, path = written(d.select("text").mapInArrow(run, "part long, slab int, z binary"), "sketch")
+    sums, path = written(d.select("text").mapInArrow(lean(run), "part long, slab int, z binary"), "sketch")
     parts = sums.agg(F.max("part")).first()[0] or 0
     while parts > 0:
         sums = sums.withColumn("part", F.floor(F.col("part") / fan)).groupBy("slab", "part").applyInArrow(added, "part long, slab int, z binary")
@@ -485,7 +485,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: LsiParams = LsiParams
                 rows, keys, cosines, overlaps, answers = zip(*got, strict=True) if got else ((),) * 5
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array([index.items[x].key for x in keys], key_type), pa.array(cosines, pa.float64()), pa.array(overlaps, pa.float64()), pa.array(answers, pa.bool_())], ["doc_id", id_name, "cosine", "overlap", "answer"])
 
-        found = d.mapInArrow(search, schema)
+        found = d.mapInArrow(lean(search), schema)
         out = found if out is empty else out.unionByName(found)
     return out
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import dropped, written
+from .common import dropped, lean, written
 from .graph import components, without
 
 
@@ -99,7 +99,7 @@ def _signed(docs: DataFrame, p: MinHashParams) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(full)), pa.array(h), pa.array(g), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "h", "g", "sig"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return d.mapInArrow(run, "doc_id long, h long, g long, sig binary")
+    return d.mapInArrow(lean(run), "doc_id long, h long, g long, sig binary")
 
 
 def _verified(edges: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def _verified(edges: DataFrame, sigs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("rep"), pa.array((s == t).mean(axis=1) if b.num_rows else np.zeros(0))], ["doc", "rep", "share"])
 
     both = edges.join(sigs.select(F.col("doc_id").alias("doc"), F.col("sig").alias("s")), "doc").join(sigs.select(F.col("doc_id").alias("rep"), F.col("sig").alias("t")), "rep")
-    return both.select("doc", "rep", "s", "t").mapInArrow(run, "doc long, rep long, share double")
+    return both.select("doc", "rep", "s", "t").mapInArrow(lean(run), "doc long, rep long, share double")
 
 
 def _joins(sig: np.ndarray, roots: np.ndarray, blocks: np.ndarray | None, threshold: float) -> list[tuple[int, int]]:
@@ -165,7 +165,7 @@ def _groups(docs: DataFrame, p: MinHashParams) -> DataFrame:
                 k = band_keys(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(b.num_rows, -1), p.rows_per_band)
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(b.column("doc_id").to_numpy(), k.shape[1]))], ["key", "doc"])
 
-    keyed, keyed_path = written(sigs.mapInArrow(keys, "key long, doc long"), "bands")
+    keyed, keyed_path = written(sigs.mapInArrow(lean(keys), "key long, doc long"), "bands")
     leads = keyed.groupBy("key").agg(F.min("doc").alias("rep"), F.count("*").alias("m")).where("m > 1").select("key", "rep")
     bucket, bucket_path = written(keyed.join(leads, "key").where("doc != rep").select("key", "doc", "rep"), "bucket")
     checked, checked_path = written(_verified(bucket.select("doc", "rep").distinct(), sigs), "checked")
@@ -205,7 +205,7 @@ def _groups(docs: DataFrame, p: MinHashParams) -> DataFrame:
                 y += [docs[f + k] for _, k in edges]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    more = member.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "block", "doc", "root", "sig").mapInArrow(compared, "a long, b long")
+    more = member.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "block", "doc", "root", "sig").mapInArrow(lean(compared), "a long, b long")
     alike = tied.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more.distinct())
     roots, roots_path = written(components(alike), "roots")
     groups = exact.join(roots, exact.rep == roots.id, "left").select("doc_id", F.coalesce("root", "rep").alias("group_id"), "several")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import lean
 
 HEADS = ("quality", "toxic")
 
@@ -91,7 +92,7 @@ def fit(texts: pa.Array, labels: np.ndarray, p: QualityParams) -> QualityModel:
     rows: list[tuple[np.ndarray, np.ndarray]] = []
     for a, b in tv.chunks(texts):
         offsets, index, value = features(texts.slice(a, b - a), p.bits)
-        rows += [(np.append(index[i:j], dim), np.append(value[i:j], np.float32(1))) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+        rows += [(np.append(index[i:j], dim).astype(np.int32), np.append(value[i:j], np.float32(1))) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
     known = ~np.isnan(labels)
     y = np.nan_to_num(labels)
     hold = np.arange(len(rows)) % p.holdout == p.holdout - 1
@@ -155,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()
         m = fit(pa.concat_arrays(texts), np.concatenate(ys), p)
         yield pa.RecordBatch.from_pydict({"weights": [m.weights.tobytes()], "bias": [m.bias.tolist()], "thresholds": [m.thresholds.tolist()], "n": [m.rows]})
 
-    got = rows.select("text", *HEADS).mapInArrow(one, "weights binary, bias array<double>, thresholds array<double>, n long").collect()
+    got = rows.select("text", *HEADS).mapInArrow(lean(one), "weights binary, bias array<double>, thresholds array<double>, n long").collect()
     if not got:
         return QualityModel(np.zeros((2, 1 << p.bits), np.float32), np.zeros(2), np.array([0.5, 0.5]), 0)
     r = got[0]
@@ -183,7 +184,7 @@ def score(docs: DataFrame, model: QualityModel, p: QualityParams = QualityParams
             keep = (sizes > 0) & (untrained | ((s[:, 0] >= thresholds[0]) & (s[:, 1] < thresholds[1])))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(keep)], [*carry, "quality", "toxicity", "keep"])
 
-    return out.mapInArrow(scored, schema)
+    return out.mapInArrow(lean(scored), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import lean
 
 
 @dataclass(frozen=True)
@@ -401,7 +402,7 @@ def secret_findings(docs: DataFrame, p: SecretParams = SecretParams(), labelled:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(text)), pa.array(s.astype(np.int64)), pa.array(e.astype(np.int64)), pa.array(np.round(prob, 6)), pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())], ["doc_id", "start", "end", "probability", "digest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, start long, end long, probability double, digest string")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, start long, end long, probability double, digest string")
 
 
 MASK = "[SECRET]"
@@ -443,4 +444,4 @@ def redacted(docs: DataFrame, p: SecretParams = SecretParams()) -> DataFrame:
                 b = pa.RecordBatch.from_arrays(arrays, b.schema.names)
             yield b
 
-    return plain.mapInArrow(run, schema).toDF(*names)
+    return plain.mapInArrow(lean(run), schema).toDF(*names)
