@@ -42,18 +42,24 @@ def dropped(spark: SparkSession, *paths: str) -> None:
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, giving freed memory back to the system when its task ends: workers live on, and the next task may be another operator's."""
+    """run, giving freed memory back to the system after each batch and at the task's end: workers live on, and the next task may be another operator's."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+
+        def give_back() -> None:
+            pa.default_memory_pool().release_unused()
+            if trim is not None:
+                trim(0)
+
         try:
-            yield from run(batches)
+            for out in run(batches):
+                yield out
+                del out
+                give_back()
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # a system whose C library has no such call
-                pass
+            give_back()
 
     return wrapped
 
