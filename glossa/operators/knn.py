@@ -409,9 +409,11 @@ def label_vote(neighbours: DataFrame, labels: DataFrame, id_col: str = "vec_id",
 def recall(truth: DataFrame, found: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """(k, recall): mean share of the true k best that are among the found k best."""
     n = truth.select("query_id").distinct().count()
-    hits = truth.select("query_id", "vec_id", F.col("rank").alias("tr")).join(found.select("query_id", "vec_id", F.col("rank").alias("fr")), ["query_id", "vec_id"])
+    both = truth.select("query_id", "vec_id", F.col("rank").alias("tr")).join(found.select("query_id", "vec_id", F.col("rank").alias("fr")), ["query_id", "vec_id"])
+    # Counted by the rank from which on a hit counts, so that one row for each rank meets the ks.
+    hits = both.groupBy(F.greatest("tr", "fr").alias("r")).agg(F.count("*").alias("n"))
     k = truth.sparkSession.createDataFrame([(x,) for x in ks], "k long")
-    return k.join(hits, (F.col("tr") <= F.col("k")) & (F.col("fr") <= F.col("k")), "left").groupBy("k").agg(F.round(F.count("tr") / (F.col("k") * F.lit(max(n, 1))), 6).alias("recall"))
+    return k.join(hits, F.col("r") <= F.col("k"), "left").groupBy("k").agg(F.round(F.coalesce(F.sum("n"), F.lit(0)) / (F.col("k") * F.lit(max(n, 1))), 6).alias("recall"))
 
 
 def gsq_scan(df: DataFrame, decoded: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

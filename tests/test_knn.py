@@ -101,3 +101,14 @@ def test_cells_and_coarse_forms_against_enumeration(spark):
         t = knn.rounded(u[wide] @ u[i])
         want |= {(i, k, int(wide[j]), round(float(t[j]), 6)) for k, j in enumerate(np.lexsort((wide, -t))[:4], 1)}
     assert got(knn.refine(df, df, 4, 3, F.slice("embedding", 1, 3), rows=16)) == want
+
+
+def test_recall_sends_no_hits_to_the_driver(spark):
+    """What is broadcast is one row for each rank, not all hits."""
+    truth = spark.range(40).select((F.col("id") / 4).cast("long").alias("query_id"), (F.col("id") % 4 + 1).alias("rank"), F.col("id").alias("vec_id"))
+    found = truth.withColumn("rank", F.lit(5) - F.col("rank")).where("query_id < 8")
+    out = knn.recall(truth, found, (1, 2, 3, 4))
+    assert {r.k: r.recall for r in out.collect()} == {1: 0.0, 2: 0.0, 3: round(16 / 30, 6), 4: 0.8}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    outer = plan.index("Join LeftOuter")
+    assert "Aggregate [" in plan[outer : plan.index("Join Inner", outer)]
