@@ -186,3 +186,17 @@ def test_columns_of_any_name_are_borne(spark):
     assert {type(r.batch) for r in got.collect()} == {int} and set(got.columns) == set(df.columns)
     cache = spark.createDataFrame([(1, "y", "z")], "k long, hit string, w string")
     assert {(r.k, r.hit, r.w) for r in relational.cached(df, cache, "k").collect()} == {(1, True, "z"), (0, False, None)}
+
+
+def test_percentiles_of_blocks_take_no_loop_over_rows(monkeypatch):
+    """They are those of nanpercentile, which calls Python for every block of every row: padding, single values and NaNs within included."""
+    v = np.random.default_rng(0).normal(size=(50, 3, 32))
+    v[:, 2, 20:] = v[5, 0, 3] = v[7, 1, 1:] = np.nan
+    which = [100 * (1 - 0.998), 99.8]
+    want = np.nanpercentile(v, which, axis=2, keepdims=True)
+    x = v.reshape(50, -1)[:, :84]
+    low = np.nanmin(np.clip(v, *want), axis=2)
+    monkeypatch.setattr(np, "nanpercentile", None)
+    monkeypatch.setattr(np, "apply_along_axis", None)
+    assert (codecs.percentiles(v, which) == want).all()
+    assert np.array_equal(codecs.block_statistics(x, 32, 0.998)[1], low)
