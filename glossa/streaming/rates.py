@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Answers that leave a task at once.
+PART = 1 << 16
+
 
 def sliding(events: DataFrame, key: str, ts: str, size: str, seconds: int) -> DataFrame:
     """events with requests and tokens: number and sum of size of the key's rows in the last seconds; a row exactly so old doesn't count."""
@@ -27,25 +31,30 @@ def windowed(events: DataFrame, key: str, ts: str, size: str, length: str, slide
 def limited(events: DataFrame, key: str, ts: str, size: str, rpm: int, tpm: float, seconds: int = 60) -> DataFrame:
     """(key, event_id, ts, admitted) of a stream: a row is admitted if the key's admitted rows of the last seconds leave room for it.
 
-    The state is the list of the admitted rows of one window. Rows of one micro-batch are taken in the order of their time.
+    The state is the list of the admitted rows of one window. Rows of one micro-batch are taken in the order of their time: of each a task
+    holds three numbers, and the answers leave it by parts.
     """
     schema = f"`{key}` string, event_id long, ts timestamp, admitted boolean"
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        held = [(np.array(p["event_id"]), np.array(p["ts"], "datetime64[us]"), np.array(p["size"], float)) for p in parts]  # copies: no batch is kept
+        event, when, amount = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        order = np.lexsort((event, when.view(np.int64), np.isnat(when)))
         at, sizes = (list(x) for x in state.get) if state.exists else ([], [])
-        out = []
-        for event, when, amount in rows[["event_id", "ts", "size"]].itertuples(index=False):
-            now = when.value // 1000
-            live = [i for i, x in enumerate(at) if x > now - seconds * 1_000_000]
-            at, sizes = [at[i] for i in live], [sizes[i] for i in live]
-            ok = len(at) < rpm and sum(sizes) + amount <= tpm
-            if ok:
-                at.append(now)
-                sizes.append(float(amount))
-            out.append((str(k[0]), event, when, ok))
-        state.update((at, sizes))
-        yield pd.DataFrame(out, columns=[key, "event_id", "ts", "admitted"])
+        for a in range(0, len(order), PART):
+            some = order[a : a + PART]
+            out = np.zeros(len(some), bool)
+            for i, (now, x) in enumerate(zip(when[some].view(np.int64).tolist(), amount[some].tolist(), strict=True)):
+                live = [j for j, y in enumerate(at) if y > now - seconds * 1_000_000]
+                at, sizes = [at[j] for j in live], [sizes[j] for j in live]
+                if len(at) < rpm and sum(sizes) + x <= tpm:
+                    at.append(now)
+                    sizes.append(x)
+                    out[i] = True
+            if a + PART >= len(order):
+                state.update((at, sizes))
+            yield pd.DataFrame({key: str(k[0]), "event_id": event[some], "ts": when[some].astype("datetime64[ns]"), "admitted": out})
 
     rows = events.select(F.col(key).cast("string").alias(key), "event_id", F.col(ts).cast("timestamp").alias("ts"), F.col(size).cast("double").alias("size"))
     return rows.groupBy(key).applyInPandasWithState(step, schema, "at array<long>, sizes array<double>", "append", GroupStateTimeout.NoTimeout)
