@@ -178,3 +178,42 @@ def test_dictionaries(spark):
 @pytest.mark.parametrize(("name", "content", "want"), [("a.json", '{"header":1,"content":2}', "mod_json"), ("a.json", '{"name":1}', "game_json"), ("a.json", "{}", "language"), ("b.txt", "### x ###", "mod_text"), ("b.txt", "element {", "menu_blocks"), ("q.SNBT", "", "quest_snbt"), ("s.zs", "", "script"), ("x.png", "", None), ("none", "", None)])
 def test_detection(name, content, want):
     assert documents.detected(name, content) == want
+
+
+def test_documents_are_spread_over_the_cores(spark):
+    """However few tasks their bytes would make: documents in one partition, and those that a small join gives."""
+    files = spark.range(200).select(F.concat(F.lit("f"), "id").alias("file"), F.format_string('{ title: "t%d" }', "id").alias("content")).coalesce(1)
+    got = documents.extracted(files, "quest_snbt")
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+    assert {(r.file, r.text) for r in got.collect()} == {(f"f{i}", f"t{i}") for i in range(200)}
+    new = documents.rewritten(files, got.select("file", "path", F.upper("text").alias("text")), "quest_snbt")
+    assert new.select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+    assert {r.content.split()[2] for r in new.collect()} == {f'"T{i}"' for i in range(200)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab\\\"'nu0f1\t{", max_size=20), st.sampled_from("\"'"))
+def test_strings_by_runs_equal_those_by_characters(body, q):
+    def slow(s):
+        out, i = [], 1
+        while i < len(s):
+            if s[i] == q:
+                return "".join(out), i + 1
+            if s[i] == "\\" and i + 1 < len(s):
+                code = s[i + 2 : i + 6]
+                if s[i + 1] == "u" and len(code) == 4 and all(c in "0123456789abcdefABCDEF" for c in code):
+                    out.append(chr(int(code, 16)))
+                    i += 6
+                else:
+                    out.append({"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}.get(s[i + 1], s[i + 1]))
+                    i += 2
+                continue
+            out.append(s[i])
+            i += 1
+        return None
+
+    text = q + body + q
+    try:
+        assert snbt._string(text, 0) == slow(text)
+    except snbt.SnbtError:
+        assert slow(text) is None
